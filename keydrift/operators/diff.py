@@ -1,0 +1,141 @@
+"""The diffs a user asks for, read off the ledgers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from keydrift.functions.keys import joined_key, named, require_columns
+from keydrift.operators.ledger import DELETE, INSERT, UPDATE, ledger, presence_ledger
+from keydrift.operators.normalize import drop_deleted, normalize_rows
+from keydrift.options import DiffOptions
+
+DIFF_COLUMNS = ("key", "status", "changed_columns")
+
+# How many copies of a diff row one task writes out before the next chunk starts.
+REPEAT_CHUNK = 1 << 16
+
+
+def expand(entries: DataFrame, ordered: bool = False) -> DataFrame:
+    """The diff rows behind ledger entries, each repeated ``n_rows`` times.
+
+    Repeats go out in chunks, and the order includes the chunk: however often
+    one key repeats, its chunks spread over several sorted partitions.
+    """
+    wanted = entries.where(F.col("status").isNotNull())
+    last_chunk = ((F.col("n_rows") - 1) / REPEAT_CHUNK).cast("bigint")
+    chunks = wanted.select(
+        *DIFF_COLUMNS,
+        "n_rows",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("_chunk"),
+    )
+    if ordered:
+        chunks = chunks.orderBy("key", "status", "_chunk")
+    left = F.col("n_rows") - F.col("_chunk") * REPEAT_CHUNK
+    copies = F.array_repeat(F.lit(0), F.least(left, F.lit(REPEAT_CHUNK)).cast("int"))
+    return chunks.select(*DIFF_COLUMNS, F.explode(copies).alias("_copy")).select(*DIFF_COLUMNS)
+
+
+def diff(
+    before: DataFrame,
+    after: DataFrame,
+    mode: str = "normalized",
+    options: DiffOptions = DiffOptions(),
+    ordered: bool = False,
+) -> DataFrame:
+    """The differing keys as ``key, status, changed_columns``; lazy."""
+    entries = ledger(before, after, mode, options)
+    if mode != "normalized":
+        return expand(entries, ordered)
+    found = entries.where(F.col("status").isNotNull()).select(*DIFF_COLUMNS)
+    return order_by_key(found) if ordered else found
+
+
+def diff_counts(
+    before: DataFrame, after: DataFrame, mode: str = "normalized", options: DiffOptions = DiffOptions()
+) -> DataFrame:
+    """The differing keys with ``n_rows`` in place of repeated rows."""
+    entries = ledger(before, after, mode, options)
+    return entries.where(F.col("status").isNotNull()).select(*DIFF_COLUMNS, "n_rows")
+
+
+def order_by_key(found: DataFrame) -> DataFrame:
+    """Diff rows in code-point order of their key."""
+    return found.orderBy("key", "status")
+
+
+def tally(entries: DataFrame) -> DataFrame:
+    """Ledger entries with all keys that do not differ folded into one row.
+
+    About as large as the diff, yet complete enough for all totals.
+    """
+    differs = F.col("status").isNotNull()
+    return (
+        entries.select(
+            F.when(differs, F.col("key")).alias("key"),
+            "status",
+            "changed_columns",
+            "n_rows",
+            "rows_before",
+            "rows_after",
+        )
+        .groupBy("key", "status", "changed_columns")
+        .agg(
+            F.sum("n_rows").alias("n_rows"),
+            F.sum("rows_before").alias("rows_before"),
+            F.sum("rows_after").alias("rows_after"),
+        )
+    )
+
+
+def totals(entries: DataFrame) -> DataFrame:
+    """One row: ``rows_before, rows_after, rows_diff`` of a ledger or a tally."""
+
+    def total(column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+
+    found = F.when(F.col("status").isNotNull(), F.col("n_rows"))
+    return entries.agg(
+        total("rows_before").alias("rows_before"),
+        total("rows_after").alias("rows_after"),
+        total(found).alias("rows_diff"),
+    )
+
+
+def diff_summary(entries: DataFrame) -> DataFrame:
+    """Diff rows per status and set of changed columns."""
+    return (
+        entries.where(F.col("status").isNotNull())
+        .groupBy("status", "changed_columns")
+        .agg(F.sum("n_rows").cast("bigint").alias("rows_diff"))
+    )
+
+
+def _by_presence(before, after, options: DiffOptions, status: str) -> DataFrame:
+    return expand(presence_ledger(before, after, options).where(F.col("status") == status))
+
+
+def inserted(before: DataFrame, after: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """After rows whose key is not in before."""
+    return _by_presence(before, after, options, INSERT)
+
+
+def deleted(before: DataFrame, after: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """Before rows whose key is not in after."""
+    return _by_presence(before, after, options, DELETE)
+
+
+def common(before: DataFrame, after: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """One row for each pair of a before and an after row with the same key."""
+    return _by_presence(before, after, options, UPDATE)
+
+
+def all_keys(before: DataFrame, after: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """The distinct normalized keys of the two sides together."""
+
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        require_columns(df, options.primary_keys, side)
+        rows = normalize_rows(drop_deleted(df, options), options)
+        return rows.select(joined_key([named(k) for k in options.primary_keys]).alias("key"))
+
+    return keys(before, "before").union(keys(after, "after")).distinct()

@@ -1,0 +1,210 @@
+"""What happened to every key, in one row per key.
+
+Each comparison mode boils down to a *ledger*: ``key, status, changed_columns,
+n_rows, rows_before, rows_after``. ``status`` is null for a key without a
+difference, ``n_rows`` says how many rows of the diff the key stands for, and the
+last two columns say how many input rows of each side it covers, so totals come
+out of the same pass.
+
+All modes union the two sides and aggregate by key instead of joining them. An
+aggregate reduces a hot key inside each task before the shuffle, whereas a join
+would send all its rows to one task and pair them there. Only where the caller
+vouches for unique keys, and no key can be hot, is the plain full outer join
+used: it saves the sort in front of the first reduction.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from keydrift.functions.keys import fingerprint, joined_key, named, nullable_key, require_columns
+from keydrift.operators.normalize import compared_columns, drop_deleted, normalize_rows
+from keydrift.options import ITEM_SEPARATOR, DiffOptions
+
+# The states a differing key can have.
+INSERT, DELETE, UPDATE = "INSERT", "DELETE", "UPDATE"
+
+LEDGER_COLUMNS = ("key", "status", "changed_columns", "n_rows", "rows_before", "rows_after")
+
+
+def changed_columns(before: Column, after: Column, columns: list[str]) -> Column:
+    """The names, in order, of the fields in which two row structs differ."""
+    return F.concat_ws(
+        ITEM_SEPARATOR, *[F.when(before[c] != after[c], F.lit(c)) for c in sorted(columns)]
+    )
+
+
+def diff_status(in_before: Column, in_after: Column, differs: Column) -> Column:
+    """INSERT, DELETE or UPDATE by presence; null if both sides agree."""
+    return (
+        F.when(~in_before, F.lit(INSERT)).when(~in_after, F.lit(DELETE)).when(differs, F.lit(UPDATE))
+    )
+
+
+def normalized_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    """Normalize both sides, keep the last row per key, compare column by column."""
+    require_columns(before, options.primary_keys, "before")
+    require_columns(after, options.primary_keys, "after")
+    columns = compared_columns(before, after, options)
+
+    def rows(df: DataFrame) -> DataFrame:
+        tidy = normalize_rows(drop_deleted(df, options), options, columns)
+        parts = [named(k) for k in options.primary_keys]
+        by_parts = options.key_mode == "struct" and len(parts) > 1
+        key = F.struct(*parts) if by_parts else joined_key(parts)
+        order = F.struct(*[named(c) for c in options.order_by]) if options.order_by else F.lit(0)
+        row = F.struct(order.alias("order"), F.struct(*[named(c) for c in columns]).alias("row"))
+        return tidy.select(key.alias("_key"), row.alias("_row"))
+
+    old = rows(before).withColumnRenamed("_row", "_before")
+    new = rows(after).withColumnRenamed("_row", "_after")
+    if options.unique_keys:
+        keyed = old.join(new, "_key", "full_outer").select(
+            "*",
+            F.col("_before").isNotNull().cast("bigint").alias("rows_before"),
+            F.col("_after").isNotNull().cast("bigint").alias("rows_after"),
+        )
+    else:
+        keyed = (
+            old.unionByName(new, allowMissingColumns=True)
+            .groupBy("_key")
+            .agg(
+                F.max("_before").alias("_before"),
+                F.max("_after").alias("_after"),
+                F.count("_before").alias("rows_before"),
+                F.count("_after").alias("rows_after"),
+            )
+        )
+    b, a = F.col("_before"), F.col("_after")
+    differs = b["row"] != a["row"]
+    status = diff_status(b.isNotNull(), a.isNotNull(), differs)
+    changed = changed_columns(b["row"], a["row"], columns)
+    key = F.col("_key")
+    if isinstance(keyed.schema["_key"].dataType, type(keyed.schema["_before"].dataType)):
+        key = joined_key([key[k] for k in options.primary_keys])
+    return keyed.select(
+        key.alias("key"),
+        status.alias("status"),
+        F.when(differs, changed).otherwise(F.lit("")).alias("changed_columns"),
+        status.isNotNull().cast("bigint").alias("n_rows"),
+        "rows_before",
+        "rows_after",
+    )
+
+
+def raw_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    """What a full outer join on the key columns as they are would report.
+
+    Key columns that are null match nothing. Repeated keys pair up, and each
+    pair of unequal rows counts. The pairs are never formed: a key with b rows
+    before and a rows after has b * a pairs, less those of equal rows.
+    """
+    keys = list(options.primary_keys)
+    rows = _both_sides(before, after, options).drop(*options.order_by)
+    lone = _any_null([named(k) for k in keys])
+    grouping = [named(c) for c in rows.columns if c not in ("_old", "_new")]
+    distinct_rows = (
+        rows.groupBy(*grouping, F.when(lone, F.col("_old")).alias("_lone"))
+        .agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    )
+    per_key = distinct_rows.groupBy(*[named(k) for k in keys], "_lone").agg(
+        F.sum("_old").alias("rows_before"),
+        F.sum("_new").alias("rows_after"),
+        F.sum(F.col("_old") * F.col("_new")).alias("_equal"),
+    )
+    pairs = F.col("rows_before") * F.col("rows_after") - F.col("_equal")
+    return _counted(per_key, joined_key([named(k) for k in keys]), pairs)
+
+
+def presence_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    """Keys on one side only, and every pair of rows with a common key.
+
+    Reads nothing but the key columns. A key with a null part matches nothing.
+    """
+    keys = [named(k) for k in options.primary_keys]
+    rows = _both_sides(before, after, options).select(nullable_key(keys).alias("_key"), "_old", "_new")
+    per_key = rows.groupBy("_key", F.when(F.col("_key").isNull(), F.col("_old")).alias("_lone")).agg(
+        F.sum("_old").alias("rows_before"), F.sum("_new").alias("rows_after")
+    )
+    return _counted(per_key, F.col("_key"), F.col("rows_before") * F.col("rows_after"))
+
+
+def fingerprint_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    """Each after row against the fingerprint of its key's last before row.
+
+    Only the key, 8 bytes of hash and the order columns are shuffled. The first
+    aggregate counts equal rows, the second finds the last before row's count.
+    """
+    require_columns(before, options.primary_keys, "before")
+    require_columns(after, options.primary_keys, "after")
+
+    def hashed(df: DataFrame, old: int) -> DataFrame:
+        values = {c: named(c) for c in df.columns if c not in options.order_by}
+        order = F.struct(F.lit(0), *[named(c) for c in options.order_by]) if old else F.lit(None)
+        return df.select(
+            joined_key([named(k) for k in options.primary_keys]).alias("_key"),
+            fingerprint(values).alias("_print"),
+            order.alias("_order"),
+            F.lit(old).cast("bigint").alias("_old"),
+            F.lit(1 - old).cast("bigint").alias("_new"),
+        )
+
+    distinct_rows = (
+        hashed(before, 1)
+        .unionByName(hashed(after, 0))
+        .groupBy("_key", "_print")
+        .agg(F.max("_order").alias("_order"), F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    )
+    last = F.when(F.col("_order").isNotNull(), F.struct("_order", "_print", F.col("_new").alias("equal")))
+    per_key = distinct_rows.groupBy("_key").agg(
+        F.sum("_old").alias("rows_before"),
+        F.sum("_new").alias("rows_after"),
+        F.max(last)["equal"].alias("_equal"),
+    )
+    unequal = F.col("rows_after") - F.col("_equal")
+    return _counted(per_key, F.col("_key"), unequal, deletes=F.lit(1).cast("bigint"))
+
+
+def _both_sides(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    require_columns(before, options.primary_keys, "before")
+    require_columns(after, options.primary_keys, "after")
+    old = before.select("*", F.lit(1).cast("bigint").alias("_old"), F.lit(0).cast("bigint").alias("_new"))
+    new = after.select("*", F.lit(0).cast("bigint").alias("_old"), F.lit(1).cast("bigint").alias("_new"))
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def _any_null(columns: list[Column]) -> Column:
+    lone = columns[0].isNull()
+    for column in columns[1:]:
+        lone = lone | column.isNull()
+    return lone
+
+
+def _counted(per_key: DataFrame, key: Column, updates: Column, deletes: Column | None = None) -> DataFrame:
+    old, new = F.col("rows_before"), F.col("rows_after")
+    status = diff_status(old > 0, new > 0, updates > 0)
+    n_rows = F.when(old == 0, new).when(new == 0, old if deletes is None else deletes).otherwise(updates)
+    return per_key.select(
+        key.alias("key"),
+        status.alias("status"),
+        F.lit("").alias("changed_columns"),
+        n_rows.alias("n_rows"),
+        "rows_before",
+        "rows_after",
+    )
+
+
+# The names under which a mode is asked for.
+LEDGERS = {
+    "normalized": normalized_ledger,
+    "raw": raw_ledger,
+    "fingerprint": fingerprint_ledger,
+    "presence": presence_ledger,
+}
+
+
+def ledger(before: DataFrame, after: DataFrame, mode: str, options: DiffOptions) -> DataFrame:
+    if mode not in LEDGERS:
+        raise ValueError(f"unknown comparison mode {mode!r}, expected one of {', '.join(LEDGERS)}")
+    return LEDGERS[mode](before, after, options)
