@@ -9,7 +9,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Quoting as in ordinary CSV, where a quote inside quotes is doubled.
@@ -51,10 +51,7 @@ def read_delimited(
         if headers == "by_name":
             return _read_by_name(spark, paths, options, row_order, corrupt_column)
         columns = spark.read.options(**options).csv(paths).columns
-        piece = F.col("_metadata.file_path")
-        if len(paths) == 1:
-            piece = F.substring_index(piece, "/", -_varying_components(paths[0]))
-        return _scan(spark, paths, options, columns, row_order, corrupt_column, piece)
+        return _scan(spark, paths, options, columns, row_order, corrupt_column)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no files match: {', '.join(paths)}") from exc
@@ -68,7 +65,7 @@ def _scan(
     columns: list[str],
     row_order: bool,
     corrupt_column: str | None,
-    file_order: Column,
+    whole_path: bool = False,
 ) -> DataFrame:
     names = list(columns) + ([corrupt_column] if corrupt_column else [])
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
@@ -81,8 +78,12 @@ def _scan(
     df = reader.csv(paths)
     if not row_order:
         return df
+    file = F.col("_metadata.file_path")
+    if len(paths) == 1 and df.columns == names and not whole_path:
+        # One pattern and no partition directories: the fixed head of the path can go.
+        file = F.substring_index(file, "/", -_varying_components(paths[0]))
     position = F.struct(
-        file_order.alias("file"),
+        file.alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         # Only ever compared within one block, and a block is read by one task.
         F.monotonically_increasing_id().alias("line"),
@@ -91,14 +92,14 @@ def _scan(
 
 
 def _varying_components(path: str) -> int:
-    """How many trailing path components can differ between the files of ``path``.
+    """How many trailing path components tell the files of ``path`` apart.
 
-    Row order carries the file's path with every row; the fixed head is left off.
-    A directory without a pattern is taken to hold its files itself.
+    Row order carries this part of the file's path with every row. A pattern may
+    match directories, so the part may reach one component further down.
     """
     components = path.rstrip("/").split("/")
     globbed = [i for i, c in enumerate(components) if re.search(r"[*?\[{]", c)]
-    return len(components) - globbed[0] + (0 if "." in components[-1] else 1) if globbed else 1
+    return len(components) - globbed[0] + 1 if globbed else 1
 
 
 def _read_by_name(
@@ -114,9 +115,10 @@ def _read_by_name(
     groups: dict[tuple[str, ...], list[str]] = {}
     for file, names in zip(files, found):
         groups.setdefault(names, []).append(file)
-    piece = F.col("_metadata.file_path")
+    if len(groups) == 1:
+        return _scan(spark, paths, options, list(found[0]), row_order, corrupt_column)
     scans = [
-        _scan(spark, members, options, list(names), row_order, corrupt_column, piece)
+        _scan(spark, members, options, list(names), row_order, corrupt_column, whole_path=True)
         for names, members in groups.items()
     ]
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
