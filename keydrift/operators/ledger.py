@@ -47,11 +47,11 @@ def normalized_ledger(before: DataFrame, after: DataFrame, options: DiffOptions)
     require_columns(before, options.primary_keys, "before")
     require_columns(after, options.primary_keys, "after")
     columns = compared_columns(before, after, options)
+    by_parts = options.key_mode == "struct"
 
     def rows(df: DataFrame) -> DataFrame:
         tidy = normalize_rows(drop_deleted(df, options), options, columns)
         parts = [named(k) for k in options.primary_keys]
-        by_parts = options.key_mode == "struct" and len(parts) > 1
         key = F.struct(*parts) if by_parts else joined_key(parts)
         order = F.struct(*[named(c) for c in options.order_by]) if options.order_by else F.lit(0)
         row = F.struct(order.alias("order"), F.struct(*[named(c) for c in columns]).alias("row"))
@@ -81,10 +81,8 @@ def normalized_ledger(before: DataFrame, after: DataFrame, options: DiffOptions)
     status = diff_status(b.isNotNull(), a.isNotNull(), differs)
     changed = changed_columns(b["row"], a["row"], columns)
     key = F.col("_key")
-    if isinstance(keyed.schema["_key"].dataType, type(keyed.schema["_before"].dataType)):
-        key = joined_key([key[k] for k in options.primary_keys])
     return keyed.select(
-        key.alias("key"),
+        (joined_key([key[k] for k in options.primary_keys]) if by_parts else key).alias("key"),
         status.alias("status"),
         F.when(differs, changed).otherwise(F.lit("")).alias("changed_columns"),
         status.isNotNull().cast("bigint").alias("n_rows"),

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the cluster's checkpoint folder, and read from there.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, known to the context as well.
 
-    The folder is the one ``spark.checkpoint.dir`` names. Only a local session,
-    where every task sees this machine's disk, may do without the setting.
+    Only a local session, where every task sees this machine's disk, may do
+    without the setting.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +22,15 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="keydrift-checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder, for tables between two steps."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into the cluster's checkpoint folder, and read from there."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
