@@ -54,16 +54,21 @@ def clean_text(column: Column) -> Column:
 def tidy_list(cleaned: Column, separator: str = ITEM_SEPARATOR) -> Column:
     """A cleaned list text with its items stripped and the blank ones dropped.
 
-    Printable ASCII without white space or another separator next to a separator
-    is tidy already; that test is cheap, the row-wise lambdas behind it are not.
+    In printable ASCII only blanks and separators next to a separator need to go,
+    which a search, and if it finds some a replacement, can do. The row-wise
+    lambdas that handle everything else are several times slower.
     """
-    tidy = cleaned.rlike(r"\A[ -~]*\z") & ~cleaned.startswith(separator) & ~cleaned.endswith(separator)
+    sep = _literal_pattern(separator)
+    printable = cleaned.rlike(r"\A[ -~]*\z")
+    tidy = ~cleaned.startswith(separator) & ~cleaned.endswith(separator)
     for neighbours in (separator * 2, separator + " ", " " + separator):
         tidy = tidy & ~cleaned.contains(neighbours)
-    items = F.filter(
-        F.transform(F.split(cleaned, _literal_pattern(separator)), _strip), lambda item: item != ""
-    )
-    return F.when(tidy, cleaned).otherwise(F.array_join(items, separator))
+    items = F.filter(F.transform(F.split(cleaned, sep), _strip), lambda item: item != "")
+    general = F.array_join(items, separator)
+    if len(separator) > 1:
+        return F.when(printable & tidy, cleaned).otherwise(general)
+    collapsed = F.btrim(F.regexp_replace(cleaned, f" *{sep}[ {sep}]*", separator), F.lit(separator))
+    return F.when(~printable, general).when(tidy, cleaned).otherwise(collapsed)
 
 
 def sort_tidy_text(tidy: Column, separator: str = ITEM_SEPARATOR) -> Column:

@@ -1,7 +1,7 @@
 """DataFrame to DataFrame operators."""
 
 from keydrift.operators.dedup import last_per_key
-from keydrift.operators.diff import (
+from keydrift.operators.diffs import (
     all_keys,
     common,
     deleted,
@@ -14,7 +14,7 @@ from keydrift.operators.diff import (
     tally,
     totals,
 )
-from keydrift.operators.ledger import LEDGERS, ledger
+from keydrift.operators.ledgers import LEDGERS, ledger
 from keydrift.operators.normalize import add_missing_columns, drop_deleted, normalize_rows
 
 __all__ = [

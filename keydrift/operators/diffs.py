@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions.keys import joined_key, named, require_columns
-from keydrift.operators.ledger import DELETE, INSERT, UPDATE, ledger, presence_ledger
+from keydrift.operators.ledgers import DELETE, INSERT, UPDATE, ledger, presence_ledger
 from keydrift.operators.normalize import drop_deleted, normalize_rows
 from keydrift.options import DiffOptions
 

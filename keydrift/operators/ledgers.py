@@ -15,11 +15,19 @@ used: it saves the sort in front of the first reduction.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions.keys import fingerprint, joined_key, named, nullable_key, require_columns
-from keydrift.operators.normalize import compared_columns, drop_deleted, normalize_rows
+from keydrift.functions.text import clean_text
+from keydrift.operators.normalize import (
+    add_missing_columns,
+    compared_columns,
+    drop_deleted,
+    normalization_steps,
+)
 from keydrift.options import ITEM_SEPARATOR, DiffOptions
 
 # The states a differing key can have.
@@ -28,13 +36,6 @@ INSERT, DELETE, UPDATE = "INSERT", "DELETE", "UPDATE"
 LEDGER_COLUMNS = ("key", "status", "changed_columns", "n_rows", "rows_before", "rows_after")
 
 
-def changed_columns(before: Column, after: Column, columns: list[str]) -> Column:
-    """The names, in order, of the fields in which two row structs differ."""
-    return F.concat_ws(
-        ITEM_SEPARATOR, *[F.when(before[c] != after[c], F.lit(c)) for c in sorted(columns)]
-    )
-
-
 def diff_status(in_before: Column, in_after: Column, differs: Column) -> Column:
     """INSERT, DELETE or UPDATE by presence; null if both sides agree."""
     return (
@@ -43,51 +44,97 @@ def diff_status(in_before: Column, in_after: Column, differs: Column) -> Column:
 
 
 def normalized_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
-    """Normalize both sides, keep the last row per key, compare column by column."""
+    """Keep the last row per key, normalize both sides, compare column by column.
+
+    Only keys and operation codes are normalized ahead of the shuffle. The rest
+    waits until both sides of a key have met: by then superseded rows are gone,
+    and a value that is on one side only, or spelled the same on both, needs no
+    normalization at all.
+    """
     require_columns(before, options.primary_keys, "before")
     require_columns(after, options.primary_keys, "after")
     columns = compared_columns(before, after, options)
-    by_parts = options.key_mode == "struct"
+    keyed = _last_rows(before, after, columns, options)
+    both = F.col("_before").isNotNull() & F.col("_after").isNotNull()
+    sides = {"b": F.col("_before")["row"], "a": F.col("_after")["row"]}
+    kept = ["key", "_in_before", "_in_after", "rows_before", "rows_after"]
+
+    def slot(side: str, i: int) -> str:
+        return f"_{side}{i}"
+
+    # A pair of equal raw values becomes null and stays null in all steps.
+    compared = keyed.select(
+        F.col("_key").alias("key") if options.key_mode == "text" else _joined_parts(options).alias("key"),
+        F.col("_before").isNotNull().alias("_in_before"),
+        F.col("_after").isNotNull().alias("_in_after"),
+        "rows_before",
+        "rows_after",
+        *[
+            F.when(both & ~sides["b"][c].eqNullSafe(sides["a"][c]), F.coalesce(row[c], F.lit(""))).alias(slot(s, i))
+            for i, c in enumerate(columns)
+            for s, row in sides.items()
+        ],
+    )
+    for step in normalization_steps(options):
+        compared = compared.select(
+            *kept,
+            *[
+                F.when(F.col(slot(s, i)).isNotNull(), step(c, F.col(slot(s, i)))).alias(slot(s, i))
+                for i, c in enumerate(columns)
+                for s in sides
+            ],
+        )
+    changed = F.concat_ws(
+        ITEM_SEPARATOR,
+        *[F.when(F.col(slot("b", i)) != F.col(slot("a", i)), F.lit(c)) for i, c in enumerate(columns)],
+    )
+    # Without a fence, a filter on the outcome would be pushed below every step and
+    # spell out the whole normalization again. The metric itself is of no use.
+    compared = compared.select(*kept, changed.alias("changed_columns")).observe(
+        f"fence-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("keys")
+    )
+    status = diff_status(F.col("_in_before"), F.col("_in_after"), F.col("changed_columns") != "")
+    return compared.select(
+        "key",
+        status.alias("status"),
+        "changed_columns",
+        status.isNotNull().cast("bigint").alias("n_rows"),
+        "rows_before",
+        "rows_after",
+    )
+
+
+def _joined_parts(options: DiffOptions) -> Column:
+    return joined_key([F.col("_key")[k] for k in options.primary_keys])
+
 
-    def rows(df: DataFrame) -> DataFrame:
-        tidy = normalize_rows(drop_deleted(df, options), options, columns)
-        parts = [named(k) for k in options.primary_keys]
-        key = F.struct(*parts) if by_parts else joined_key(parts)
+def _last_rows(before: DataFrame, after: DataFrame, columns: list[str], options: DiffOptions) -> DataFrame:
+    """Per normalized key the last raw row of each side, null if there is none, and row counts."""
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        live = add_missing_columns(drop_deleted(df, options), columns)
+        parts = [clean_text(named(k)).alias(k) for k in options.primary_keys]
+        key = joined_key(parts) if options.key_mode == "text" else F.struct(*parts)
         order = F.struct(*[named(c) for c in options.order_by]) if options.order_by else F.lit(0)
-        row = F.struct(order.alias("order"), F.struct(*[named(c) for c in columns]).alias("row"))
-        return tidy.select(key.alias("_key"), row.alias("_row"))
+        row = F.struct(*[named(c).cast("string").alias(c) for c in columns])
+        return live.select(key.alias("_key"), F.struct(order.alias("order"), row.alias("row")).alias(name))
 
-    old = rows(before).withColumnRenamed("_row", "_before")
-    new = rows(after).withColumnRenamed("_row", "_after")
+    old, new = rows(before, "_before"), rows(after, "_after")
     if options.unique_keys:
-        keyed = old.join(new, "_key", "full_outer").select(
+        return old.join(new, "_key", "full_outer").select(
             "*",
             F.col("_before").isNotNull().cast("bigint").alias("rows_before"),
             F.col("_after").isNotNull().cast("bigint").alias("rows_after"),
         )
-    else:
-        keyed = (
-            old.unionByName(new, allowMissingColumns=True)
-            .groupBy("_key")
-            .agg(
-                F.max("_before").alias("_before"),
-                F.max("_after").alias("_after"),
-                F.count("_before").alias("rows_before"),
-                F.count("_after").alias("rows_after"),
-            )
+    return (
+        old.unionByName(new, allowMissingColumns=True)
+        .groupBy("_key")
+        .agg(
+            F.max("_before").alias("_before"),
+            F.max("_after").alias("_after"),
+            F.count("_before").alias("rows_before"),
+            F.count("_after").alias("rows_after"),
         )
-    b, a = F.col("_before"), F.col("_after")
-    differs = b["row"] != a["row"]
-    status = diff_status(b.isNotNull(), a.isNotNull(), differs)
-    changed = changed_columns(b["row"], a["row"], columns)
-    key = F.col("_key")
-    return keyed.select(
-        (joined_key([key[k] for k in options.primary_keys]) if by_parts else key).alias("key"),
-        status.alias("status"),
-        F.when(differs, changed).otherwise(F.lit("")).alias("changed_columns"),
-        status.isNotNull().cast("bigint").alias("n_rows"),
-        "rows_before",
-        "rows_after",
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions.keys import named
@@ -38,37 +38,49 @@ def compared_columns(before: DataFrame, after: DataFrame, options: DiffOptions)
     return sorted({*before.columns, *after.columns, *expected} - set(options.order_by))
 
 
-def normalize_rows(
-    df: DataFrame, options: DiffOptions = DiffOptions(), columns: Sequence[str] | None = None
-) -> DataFrame:
-    """All rows of ``df`` in comparable form.
+# One step of normalization: the expression for a column's text, given its name.
+Rule = Callable[[str, Column], Column]
+
 
-    Every column becomes clean text, the operation code and the lists get their
-    own rules, and columns the options expect are added if absent. ``order_by``
-    columns pass through untouched. The steps are separate projections because
-    later ones use a list's tidy text several times, and Catalyst keeps apart
-    projections whose merging would compute it again.
+def normalization_steps(options: DiffOptions) -> list[Rule]:
+    """The rules that turn raw values into comparable text, to be applied in turn.
+
+    First everything becomes clean text and the operation code gets its own rule,
+    then lists become tidy, then they are sorted. Give each step a projection of
+    its own: a later step uses its input several times, and Catalyst keeps apart
+    projections whose merging would compute that again.
     """
     lists = set(options.list_columns)
     text_lists = set(options.text_list_columns) - lists
-    if columns is None:
-        columns = compared_columns(df, df, options)
-    df = add_missing_columns(df, columns)
-    kept = [c for c in options.order_by if c in df.columns]
-    sort_integers = sort_tidy_integers if options.strictness == "B" else sort_tidy_text
+    separator = options.item_separator
+    sort_items = sort_tidy_integers if options.strictness == "B" else sort_tidy_text
+
+    def clean(name: str, value: Column) -> Column:
+        return operation_code(value) if name == options.op_column else clean_text(value)
 
-    def step(rules) -> list:
-        return [named(c) for c in kept] + [rules(c).alias(c) for c in columns]
+    def tidy(name: str, value: Column) -> Column:
+        return tidy_list(value, separator) if name in lists | text_lists else value
 
-    def cleaned(c: str):
-        return operation_code(named(c)) if c == options.op_column else clean_text(named(c))
+    def ordered(name: str, value: Column) -> Column:
+        if name in lists:
+            return sort_items(value, separator)
+        return sort_tidy_text(value, separator) if name in text_lists else value
 
-    def tidied(c: str):
-        return tidy_list(named(c), options.item_separator) if c in lists | text_lists else named(c)
+    return [clean, tidy, ordered]
 
-    def ordered(c: str):
-        if c in lists:
-            return sort_integers(named(c), options.item_separator)
-        return sort_tidy_text(named(c), options.item_separator) if c in text_lists else named(c)
 
-    return df.select(*step(cleaned)).select(*step(tidied)).select(*step(ordered))
+def normalize_rows(
+    df: DataFrame, options: DiffOptions = DiffOptions(), columns: Sequence[str] | None = None
+) -> DataFrame:
+    """All rows of ``df`` in comparable form.
+
+    Columns the options expect are added if absent; ``order_by`` columns pass
+    through untouched.
+    """
+    if columns is None:
+        columns = compared_columns(df, df, options)
+    df = add_missing_columns(df, columns)
+    kept = [named(c) for c in options.order_by if c in df.columns]
+    for step in normalization_steps(options):
+        df = df.select(*kept, *[step(c, named(c)).alias(c) for c in columns])
+    return df

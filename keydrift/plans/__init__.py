@@ -1,7 +1,7 @@
 """Whole runs: comparisons, jobs and data generation."""
 
-from keydrift.plans.compare import benchmark, compare, read_pair, resolve_modes, strategy_matrix
-from keydrift.plans.generate import generate
+from keydrift.plans.comparison import benchmark, compare, read_pair, resolve_modes, strategy_matrix
+from keydrift.plans.generator import generate
 from keydrift.plans.job import run_job
 
 __all__ = [

@@ -12,10 +12,9 @@ from keydrift.functions.rng import (
     SECOND_MULTIPLIER,
     STREAM_MULTIPLIER,
     WORD,
-    u64_of,
 )
 from keydrift.functions.text import whitespace_characters
-from keydrift.plans.generate import MUTATIONS, SHUFFLES, parse_optype_ratio
+from keydrift.plans.generator import MUTATIONS, SHUFFLES, parse_optype_ratio
 from registry.queries import GENERATOR
 
 SPACE = "'" + whitespace_characters() + "'"
@@ -246,9 +245,14 @@ def bits(stream: int | str, index: str = "idx") -> str:
     else:
         salt = f"xor({GENERATOR.seed}::UHUGEINT, ({stream})::UHUGEINT * {STREAM_MULTIPLIER}::UHUGEINT % {WORD}::UHUGEINT)"
     x = f"((xor(({index})::UHUGEINT * {INDEX_MULTIPLIER}::UHUGEINT % {WORD}::UHUGEINT, {salt}::UHUGEINT) + {INCREMENT}::UHUGEINT) % {WORD}::UHUGEINT)"
+    x = f"[{x}]"
     for distance, factor in ((30, FIRST_MULTIPLIER), (27, SECOND_MULTIPLIER), (31, 1)):
-        x = f"(xor({x}, {x} // {1 << distance}::UHUGEINT) * {factor}::UHUGEINT % {WORD}::UHUGEINT)"
-    return x
+        # A one-item list binds the number to a name, so it is computed once.
+        x = (
+            f"list_transform({x}, lambda x: "
+            f"xor(x, x // {1 << distance}::UHUGEINT) * {factor}::UHUGEINT % {WORD}::UHUGEINT)"
+        )
+    return f"{x}[1]"
 
 
 def mod(stream: int | str, n: int | str) -> str:

@@ -33,9 +33,9 @@ from keydrift.operators import (
     totals,
 )
 from keydrift.options import DiffOptions, GeneratorOptions
-from keydrift.plans.compare import strategy_matrix
+from keydrift.plans.comparison import strategy_matrix
 from keydrift.plans.durable import shared_path
-from keydrift.plans.generate import (
+from keydrift.plans.generator import (
     MUTATIONS,
     SHUFFLES,
     base_lists,

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from keydrift.operators import diff, last_per_key
 from keydrift.options import DiffOptions
-from keydrift.plans.compare import benchmark, compare, read_pair, resolve_modes, strategy_matrix
+from keydrift.plans.comparison import benchmark, compare, read_pair, resolve_modes, strategy_matrix
 from keydrift.plans.job import run_job
 from keydrift.sinks import publish_dataset, read_diff, write_diff
 from keydrift.sources import ROW_ORDER, read_delimited
