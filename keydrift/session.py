@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 SMALL_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 RECOMMENDED = {
+    **SMALL_METHODS,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
