@@ -1,0 +1,10 @@
+"""Operators for large-scale training data.
+
+Tasks get the package's functions by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

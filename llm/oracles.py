@@ -67,6 +67,25 @@ SELECT doc_id, CAST(len(assign_s) AS BIGINT) AS n_assign, CAST(len(access_s) AS
 FROM f
 """
 
+OP5 = r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+b AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS seq
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item_id, w, least(len(w), 10) AS n FROM bw WHERE len(w) > 0))),
+lengths AS (SELECT DISTINCT n FROM b),
+d AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS seq
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw JOIN lengths ON len(w) >= n)),
+h AS (SELECT r, i, d.n, item_id FROM d JOIN b ON d.n = b.n AND d.seq = b.seq),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+    FROM (SELECT DISTINCT r, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
+"""
+
 _ESCAPED = r"replace(replace({}, '\', '\s'), '<|', '<\p')"
 
 OP7 = rf"""
@@ -95,4 +114,4 @@ SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
 FROM g LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM g.conv_id
 """
 
-ORACLES = {"op4_mixing": OP4, "op6_secrets": OP6, "op7_chat": OP7}
+ORACLES = {"op4_mixing": OP4, "op5_decontaminate": OP5, "op6_secrets": OP6, "op7_chat": OP7}

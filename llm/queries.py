@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, mixing, secrets, url_filter
+from llm import chat, decontaminate, mixing, quality_rules, secrets, url_filter, weak_labels
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,10 +16,28 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, folder, "labels")))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        sha256(F.array_join(names, ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rows = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -75,4 +93,17 @@ def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op9_urls": op9_urls}
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return weak_labels.judge(docs, *weak_labels.train(docs))
+
+
+QUERIES = {
+    "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_secrets": op6_secrets,
+    "op7_chat": op7_chat,
+    "op9_urls": op9_urls,
+    "op10_quality": op10_quality,
+}
