@@ -4,6 +4,19 @@ from __future__ import annotations
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS seq FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT seq, min(doc_id) AS least FROM g GROUP BY seq HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (seq) WHERE doc_id > least),
+k AS (SELECT r, list(p) AS gone FROM x GROUP BY r),
+kept AS (
+  SELECT d.r, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) d
+  LEFT JOIN x USING (r, p) WHERE x.r IS NULL GROUP BY d.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN kept USING (r)
+"""
+
 OP4 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
@@ -114,4 +127,4 @@ SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
 FROM g LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM g.conv_id
 """
 
-ORACLES = {"op4_mixing": OP4, "op5_decontaminate": OP5, "op6_secrets": OP6, "op7_chat": OP7}
+ORACLES = {"op2_substrings": OP2, "op4_mixing": OP4, "op5_decontaminate": OP5, "op6_secrets": OP6, "op7_chat": OP7}

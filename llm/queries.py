@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, mixing, quality_rules, secrets, url_filter, weak_labels
+from llm import chat, decontaminate, mixing, near_dedup, quality_rules, secrets, substring_dedup, url_filter, weak_labels
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.find(table(spark, folder, "documents"))
+
+
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.find(table(spark, folder, "documents"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, folder, "labels")))
@@ -99,6 +107,8 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_substrings": op2_substrings,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
