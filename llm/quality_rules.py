@@ -98,6 +98,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     return fit(x, good) if len(np.unique(good)) == 2 else None
 
 
+def _score(texts: pa.Array, model: Model | None, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base failures, probabilities and verdicts of some texts."""
+    w = words(texts, SPACED)
+    counts = base_counts(texts, w)
+    failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
+    p = model.probability(w) if model else np.ones(len(texts))
+    return counts, failed, p, ~failed & (p >= threshold)
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are kept, with the columns that they have."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                yield part.filter(pa.array(_score(part.column(place), model, threshold)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document, see ``schema``; probability is null without a model."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -105,13 +126,9 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                texts = part.column(1)
-                w = words(texts, SPACED)
-                counts = base_counts(texts, w)
-                failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
-                p = model.probability(w) if model else np.ones(part.num_rows)
+                counts, failed, p, kept = _score(part.column(1), model, threshold)
                 columns = [part.column(0), *(pa.array(c, pa.int64()) for c in counts.values()), pa.array(failed)]
                 probability = pa.array(p) if model else pa.nulls(part.num_rows, pa.float64())
-                yield pa.record_batch([*columns, probability, pa.array(~failed & (p >= threshold))], names)
+                yield pa.record_batch([*columns, probability, pa.array(kept)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, mixing, near_dedup, quality_rules, secrets, substring_dedup, url_filter, weak_labels
+from llm import chat, decontaminate, html_blocks, mixing, near_dedup, quality_rules, secrets, substring_dedup, url_filter, weak_labels
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -97,6 +97,10 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_blocks.extract(table(spark, folder, "pages"))
+
+
 def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
@@ -114,6 +118,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
     "op7_chat": op7_chat,
+    "op8_html": op8_html,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
 }

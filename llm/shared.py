@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a longest run of characters other than ASCII white space.
@@ -16,20 +16,27 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """The same rows with the lineage cut, from files that every executor can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data, ``spark.checkpoint.dir``, which a cluster must name.
 
-    They lie in ``spark.checkpoint.dir``, which a cluster must name. Only a local session may leave
-    it unset and gets a temporary folder.
+    Only a local session may leave it unset and gets a temporary folder.
     """
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp()
-        context.setCheckpointDir(folder)
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp()
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """The same rows with the lineage cut, from files in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
