@@ -5,16 +5,19 @@ sequence if it has fewer words). Documents with one set form a class, of which t
 
 Sketches. From the one hash function, the ``K`` smallest values of each set. Inverted lists of the retained values
 give the overlaps. Linked sets share at least ``overlap`` values of their sketches, so each set enters only the lists
-of its len - overlap + 1 rarest values: two linked sets meet in one of these at least. For sets of up to 4 K / 2
-values the bound is certain; above, it is six standard deviations of the overlap at similarity 0.8.
+of its len - overlap + ``SHARED`` rarest values: two linked sets meet in ``SHARED`` of these at least. For sets of up to
+2 K values the bound is certain; above, it is six standard deviations of the overlap at similarity 0.8.
 
-Verification. Each list's smallest member is its hub, and all pairs of a list lie in the group of its hub. Groups are
-verified in two steps. First each member against the hub: similar union-sketches (estimate of ``FLOOR`` or more) are compared on full sets.
-Then members without a link to the hub are compared, in blocks of bounded size, with each other and with the linked
-ones; linked members need no more, they are in one component. Intersections come from products of membership matrices,
-and a block pair returns a spanning forest of its links, never all pairs. Components are joined by stars.
+Candidates. Two sets that share a list of over ``SHORT`` members are both in the group of its smallest member, the hub. Other
+linked pairs share ``SHARED`` short lists: such pairs are listed, and those whose union-sketch estimates ``FLOOR`` or more make up
+families (components), the smallest member being the hub. So each linked pair is in the group of some hub.
 
-Scale. Shuffled are ``K`` values a set, then full sets of list members only. Exact copies are one set, so their number
+Verification. First each member against the hub, on full sets. Then members without a link to the hub, in blocks of
+bounded size, with each other and with the linked ones; linked members need no more, they are in one component.
+Estimates from the sketches come first, then intersections of full sets, both as products of membership matrices; a block
+pair returns a spanning forest of its links, never all pairs. Components are joined by stars.
+
+Scale. Shuffled are ``K`` values a set, then the texts of list members only. Exact copies are one set, so their number
 does not matter. A large group of near copies is split over tasks: ``PART`` members against the hub in each, and the
 unlinked rest block by block.
 
@@ -39,7 +42,12 @@ from llm.words import SPACED_LOWER, Words, chunks, lists, mix, words
 SHINGLE = 2
 K = 64
 FLOOR = 0.5
+#: Retained values that linked sets must share among their rarest, and the most members of a short list.
+SHARED = 8
+SHORT = 32
 PART = 512
+#: Of the bit array that keeps texts outside all lists from being shuffled: 16 MB.
+MAX_BITS = 1 << 27
 
 
 def shingle_sets(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,17 +88,30 @@ def _sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, values) with the values as bytes."""
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) among (doc_id) of ids, and a few others, without a shuffle of texts.
+
+    A bit array of fixed greatest size; the more ids it holds, the more others pass, which a join then drops.
+    """
+    bits = min(MAX_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    found = (
+        ids.select(at.alias("at"))
+        .groupBy((F.col("at") / 64).cast("long").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
+        .toArrow()
+    )
+    held = np.zeros(bits // 64, np.int64)
+    held[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
-                h, first = shingle_sets(words(part.column(1), SPACED_LOWER), n)
-                values = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch([part.column(0), pa.array(values, pa.binary())], ["doc_id", "values"])
+            at = batch.column(2).to_numpy()
+            ok = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, "doc_id long, values binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", at.alias("at")).mapInArrow(run, "doc_id long, text string")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
@@ -158,29 +179,56 @@ def _forest(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> list[tuple[int,
     return out
 
 
-def _decode(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.uint64) for v in column.to_pylist()]
+def _group_sets(group: pa.Table, shingle: int) -> list[np.ndarray]:
+    """The sets of a group's texts."""
+    rows, out = pa.record_batch([group.column("text").combine_chunks()], ["text"]), []
+    for part in chunks(rows, "text"):
+        h, first = shingle_sets(words(part.column(0), SPACED_LOWER), shingle)
+        out += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return out
 
 
 def links(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, percent: int = 80, k: int = K) -> DataFrame:
     """Rows (a, b): links whose components are those of all linked pairs of representatives (rep, sketch)."""
-    values = reps.select("rep", F.explode("sketch").alias("value"))
+    # counted and joined by value: one shuffle for both
+    values = reps.select("rep", F.explode("sketch").alias("value")).repartition("value")
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     # at least so many values of the sketch are shared with any linked set
     certain = F.greatest(F.lit(k // 2), k - F.floor(F.col("size") * (100 - percent) / percent))
     overlap = F.least(F.ceil(F.col("size") * percent / 100), certain)
     by_rep = values.join(shared, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
     sizes = reps.groupBy("rep").agg(F.max(F.size("sketch")).alias("n"), F.max("n_shingles").alias("size"))
-    by_rep = by_rep.join(sizes, "rep")
+    by_rep = by_rep.join(sizes, "rep").withColumn("least", F.least(F.lit(SHARED), overlap))
     # values that no other set retains are the rarest and come first
-    room = F.greatest(F.lit(0), F.col("n") - overlap + 1 - (F.col("n") - F.size("own")))
-    listed = durable(by_rep.select("rep", F.explode(F.slice("own", F.lit(1), room.cast("int"))).alias("o")).select("rep", "o.value"))
-    hubs = listed.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("value", "hub")
-    members = durable(listed.join(hubs, "value").where("rep != hub").select("hub", "rep").distinct())
+    room = F.greatest(F.lit(0), F.size("own") - overlap + F.col("least"))
+    listed = by_rep.select("rep", "size", "least", F.explode(F.slice("own", F.lit(1), room.cast("int"))).alias("o"))
+    listed = durable(listed.select("rep", "size", "least", "o.value"))
+    lengths = listed.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+
+    # short lists: pairs that share enough of them and whose sketches are alike, put together to families
+    short = listed.join(lengths.where(F.col("m") <= SHORT).select("value"), "value")
+    x, y = short.alias("x"), short.alias("y")
+    alike = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent)
+    pairs = (
+        x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & alike)
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .agg(F.count("*").alias("shared"), F.min(F.least("x.least", "y.least")).alias("least"))
+        .where(F.col("shared") >= F.col("least"))
+    )
+    sketches = reps.select("rep", "sketch")
+    both = pairs.select("a", "b").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("s")), "a")
+    both = both.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    union = F.least(F.lit(k), F.size("s") + F.size("t") - common)
+    families = components(both.where(common >= FLOOR * percent / 80 * union).select("a", "b"))
+
+    # long lists: everything in the group of the smallest member
+    long = listed.join(lengths.where(F.col("m") > SHORT).select("value", "hub"), "value").where("rep != hub").select("hub", "rep")
+    members = durable(long.union(families.select(F.col("component").alias("hub"), F.col("node").alias("rep"))).distinct())
     needed = members.select(F.col("rep").alias("doc_id")).union(members.select(F.col("hub").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = durable(_sets(texts.join(needed, "doc_id", "left_semi"), shingle))
-    own = sets.select(F.col("doc_id").alias("rep"), "values")
+    # texts of list members are shuffled, not their sets, which are larger
+    own = _among(texts, needed).withColumnRenamed("doc_id", "rep")
 
     # step 1: each member against its hub
     parts = members.groupBy("hub").agg(F.ceil(F.count("*") / PART).alias("parts"))
@@ -191,7 +239,7 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, percent: int
     def against_hub(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rep = group.column("rep").to_numpy()
         hub = key[0].as_py()
-        all_sets = _decode(group.column("values"))
+        all_sets = _group_sets(group, shingle)
         head = [s for s, r in zip(all_sets, rep, strict=True) if r == hub]
         rest = [i for i, r in enumerate(rep) if r != hub]
         linked = linked_pairs([all_sets[i] for i in rest], head, percent, k).any(axis=1) if rest and head else np.zeros(len(rest), bool)
@@ -215,7 +263,7 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, percent: int
 
     def block_pair(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rep, left = group.column("rep").to_numpy(), group.column("left").to_numpy()
-        all_sets = _decode(group.column("values"))
+        all_sets = _group_sets(group, shingle)
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         found = []
         if len(a) and len(b):
