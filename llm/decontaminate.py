@@ -3,7 +3,7 @@
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A window is ten consecutive words of a
 benchmark item, or the whole item if it has fewer. A document word inside any occurrence of a window is hit.
 
-Index. A shard is some 4 MB of documents. Words that no window holds can match nothing, so only runs of window words
+Index. A shard is some 2 MB of documents. Words that no window holds can match nothing, so only runs of window words
 long enough for a window are indexed, with separators between them (this loses no occurrence). From their suffix
 array come the Burrows-Wheeler transform, a wavelet tree (levelwise, with rank counts) and sampled positions. All
 windows are searched backward at once; occurrences walk to the next sampled position, and merge to spans.

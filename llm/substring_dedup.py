@@ -12,8 +12,8 @@ doc_id; windows with a smaller one than their own go back to their document as p
 Scale. The sketch has about as many cells a row as the table has bytes / 4, and ``MAX_CELLS`` at most: 2 ** 30 cells a row
 are 256 MB of bits for both rows, the bound of the broadcast. Beyond some 4 GB of text a driver of
 that size lets more unrepeated windows through to the exact grouping, which then shuffles more; results are the same at any size.
-A very frequent window is one row a task in the grouping (partial aggregation), and its rows meet the smallest doc_id in a join that
-adaptive execution splits. Tasks hold ``FLUSH`` windows at a time.
+Within a chunk of documents, windows that a smaller doc_id of the chunk has are decided at once, so a very frequent
+window sends one document's rows a chunk to the grouping. Tasks hold ``FLUSH`` windows at a time.
 
 Rows. Null and empty texts have no words; the digest is that of the empty string. A document with a null doc_id is left
 whole and removes nothing. Rows that share a doc_id do not remove each other's words. An empty table gives an empty result.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.quality_rules import repeated
@@ -36,7 +36,7 @@ WINDOW = 13
 ROWS = 2
 MAX_CELLS = 1 << 30
 BLOCK = 1 << 20
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 _SALTS = (np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -144,17 +144,23 @@ def removals(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS)
                 ok = maybe_repeated(h, bits.value, cells)
                 at, h = at[ok], h[ok]
                 text = w.text[at]
-                place = pa.array(at - w.first[text], pa.int64())
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(h.view(np.int64)), place],
-                    ["row", "doc_id", "hash", "place"],
-                )
+                row, doc = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
+                place = at - w.first[text]
+                unique, which = np.unique(h, return_inverse=True)
+                least = np.full(len(unique), np.iinfo(np.int64).max)
+                np.minimum.at(least, which, doc)
+                sure = doc > least[which]
+                # decided here: such rows go where no others do, so a frequent window is one document's in each chunk
+                h = np.where(sure, mix(row.view(np.uint64) + place.astype(np.uint64)), h)
+                place = np.where(sure, -1 - place, place)
+                yield pa.record_batch([pa.array(x) for x in (row, doc, h.view(np.int64), place)], ["row", "doc_id", "hash", "place"])
 
     likely = docs.where("doc_id is not null").select("row", "doc_id", "text").mapInArrow(pick, "row long, doc_id long, hash long, place long")
     likely = likely.withColumn("place", F.col("place").cast("int"))
-    first = likely.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    found = likely.join(first.select("hash", "least"), "hash").where("doc_id > least")
-    return found.groupBy("row").agg(F.collect_list("place").alias("starts"))
+    least = F.min("doc_id").over(Window.partitionBy("hash"))
+    found = likely.withColumn("least", least).where("place < 0 OR doc_id > least")
+    place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    return found.groupBy("row").agg(F.collect_list(place).alias("starts"))
 
 
 def find(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS, texts: bool = False) -> DataFrame:
