@@ -98,9 +98,10 @@ def fit(x: np.ndarray, good: np.ndarray, rounds: int = 200, l2: float = 1e-3, se
     """Logistic regression by full-batch Adam; ``good`` may be soft labels in 0..1. A fifth is held out for calibration."""
     order = np.random.default_rng(seed).permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
-    spread = np.sqrt(np.mean(np.square(x), axis=0)) + 4e-3
+    spread = np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float32) / len(x)) + np.float32(4e-3)
     spread[SAME] /= 8  # one place against thousands: let it learn as fast as they do together
-    z, y = x[used] / spread, good[used]
+    z, y = x[used].astype(np.float32), good[used]
+    z /= spread
     balance = np.where(y >= 0.5, 0.5 / max((y >= 0.5).mean(), 1e-6), 0.5 / max((y < 0.5).mean(), 1e-6)).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -158,7 +159,11 @@ def gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), few.column(1)], ["x", "good"])
 
     got = rows.select("text", F.col("good").cast("double").alias("good")).mapInArrow(extract, "x binary, good double").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).astype(np.float32).reshape(-1, WORDS + CHARS)
+    x = got.column("x").combine_chunks()
     good = got.column("good").to_numpy()
-    order = np.lexsort((x[:, WORDS:].sum(axis=1), x @ np.arange(x.shape[1], dtype=np.float32), good)) if len(x) else []
+    if not len(x):
+        return np.empty((0, WORDS + CHARS), np.float16), good
+    # the rows' own buffer, and one copy in an order that does not depend on the partitions
+    x = np.frombuffer(x.buffers()[2], np.float16).reshape(-1, WORDS + CHARS)
+    order = np.lexsort((x[:, WORDS:].sum(axis=1, dtype=np.float32), x[:, :WORDS:7].sum(axis=1, dtype=np.float32), good))
     return x[order], good[order]

@@ -236,6 +236,6 @@ def python_spans(text: str, rules: Sequence[Rule] = RULES) -> list[tuple[int, in
     found = []
     for place, rule in enumerate(rules):
         found += [
-            (m.start(), place, m.end(), rule.kind) for m in re.finditer(rule.pattern, text or "") if len(m.group(rule.group)) >= rule.least
+            (m.start(), place, m.end(), rule.kind) for m in re.finditer(rule.pattern, text or "", re.ASCII) if len(m.group(rule.group)) >= rule.least
         ]
     return [(s, e, k) for s, _, e, k in sorted(found)]
