@@ -206,7 +206,7 @@ def test_html(spark):
 
 
 def test_urls(spark):
-    urls = ["http://A.net/x", "http://a.net", "https://en.example.net/en/1", "ftp://example.com/de/?q", "http://x.org/fr/1#a", "http://notnet/", "no url", None, "http://spam.com/a", "http://fan.com/a"]
+    urls = ["http://A.net/x", "http://b.net", "https://en.example.net/en/1", "ftp://example.com/de/?q", "http://x.org/fr/1#a", "http://notnet/", "no url", None, "http://spam.com/a", "http://fan.com/a"]
     html = {8: '<a href="http://a.net/1">', 9: "<a href='http://spam.com/'>"}
     table = spark.createDataFrame([(i, u, html.get(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: r for r in url_filter.judge(table).collect()}
