@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions.keys import fingerprint, joined_key, named, nullable_key, require_columns
-from keydrift.functions.text import clean_text
 from keydrift.operators.normalize import (
     add_missing_columns,
     compared_columns,
@@ -113,7 +112,12 @@ def _last_rows(before: DataFrame, after: DataFrame, columns: list[str], options:
 
     def rows(df: DataFrame, name: str) -> DataFrame:
         live = add_missing_columns(drop_deleted(df, options), columns)
-        parts = [clean_text(named(k)).alias(k) for k in options.primary_keys]
+        # keys are built from normalized values, as everything that is compared
+        slots = {k: f"_key_{i}" for i, k in enumerate(options.primary_keys)}
+        live = live.select("*", *[named(k).alias(slot) for k, slot in slots.items()])
+        for step in normalization_steps(options):
+            live = live.withColumns({slot: step(k, F.col(slot)) for k, slot in slots.items()})
+        parts = [F.col(slot).alias(k) for k, slot in slots.items()]
         key = joined_key(parts) if options.key_mode == "text" else F.struct(*parts)
         order = F.struct(*[named(c) for c in options.order_by]) if options.order_by else F.lit(0)
         row = F.struct(*[named(c).cast("string").alias(c) for c in columns])

@@ -251,3 +251,16 @@ def test_dotted_column_names(spark):
     assert rows_of(diff(b, a)) == [("u", "UPDATE", "a.b")]
     assert rows_of(diff(b, a, "raw")) == [("u", "UPDATE", "")]
     assert rows_of(diff(b, a, "fingerprint")) == [("u", "UPDATE", "")]
+
+
+@pytest.mark.parametrize("key_mode", ["text", "struct"])
+@pytest.mark.parametrize(("keys", "before", "after"), [
+    (("user_id", "op_type"), {"op_type": "I"}, {"op_type": "U"}),
+    (("user_id", "tags"), {"tags": "b|a"}, {"tags": " a |b"}),
+])
+def test_keys_are_built_from_normalized_values(spark, key_mode, keys, before, after):
+    row = {"user_id": "u1", "tags": "x", "levels": "1", "timestamps": "t", "op_type": "U"}
+    options = DiffOptions(primary_keys=keys, key_mode=key_mode, order_by=("seq",))
+    old, new = frame(spark, [row | before]), frame(spark, [row | after])
+    assert diff(old, new, options).count() == 0
+    assert all_keys(old, new, options).count() == 1
