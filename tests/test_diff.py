@@ -262,5 +262,5 @@ def test_keys_are_built_from_normalized_values(spark, key_mode, keys, before, af
     row = {"user_id": "u1", "tags": "x", "levels": "1", "timestamps": "t", "op_type": "U"}
     options = DiffOptions(primary_keys=keys, key_mode=key_mode, order_by=("seq",))
     old, new = frame(spark, [row | before]), frame(spark, [row | after])
-    assert diff(old, new, options).count() == 0
+    assert diff(old, new, options=options).count() == 0
     assert all_keys(old, new, options).count() == 1
