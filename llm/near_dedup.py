@@ -39,7 +39,7 @@ from llm.components import components
 from llm.shared import durable
 from llm.words import SPACED_LOWER, Words, chunks, lists, mix, words
 
-SHINGLE = 2
+SHINGLE = 5
 K = 64
 FLOOR = 0.5
 #: Retained values that linked sets must share among their rarest, and the most members of a short list.

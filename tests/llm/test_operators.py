@@ -43,12 +43,13 @@ def split(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
 
 
-def test_near_dedup(docs, empty):
-    got = near_dedup.find(docs).where("doc_id is not null").collect()
+@pytest.mark.parametrize("shingle", [2, near_dedup.SHINGLE])
+def test_near_dedup(docs, empty, shingle):
+    got = near_dedup.find(docs, shingle).where("doc_id is not null").collect()
     sets = {}
     for i, text, *_ in documents():
         w = split((text or "").lower())
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(len(w) - shingle + 1, 1))} if w else set()
     root = {i: i for i in sets if i is not None}
 
     def find(x):
