@@ -147,8 +147,11 @@ def _platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return (float(t[0] / unit), float(t[1])) if t[0] > 0 else (1.0, 0.0)
 
 
-def gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded frame (text, good) of sampled rows; 32 KiB a row come to the driver."""
+def fit_rows(rows: DataFrame) -> Model | None:
+    """The model of a bounded frame (text, good) of sampled rows; None if their labels are of one kind, or there are none.
+
+    Features come from many tasks, 16 KiB a row; one task fits on them, and only the weights come to the driver.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +161,18 @@ def gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     x = features(words(few.column(0), SPACED)).astype(np.float16)
                     yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), few.column(1)], ["x", "good"])
 
-    got = rows.select("text", F.col("good").cast("double").alias("good")).mapInArrow(extract, "x binary, good double").toArrow()
-    x = got.column("x").combine_chunks()
-    good = got.column("good").to_numpy()
-    if not len(x):
-        return np.empty((0, WORDS + CHARS), np.float16), good
-    # the rows' own buffer, and one copy in an order that does not depend on the partitions
-    x = np.frombuffer(x.buffers()[2], np.float16).reshape(-1, WORDS + CHARS)
-    order = np.lexsort((x[:, WORDS:].sum(axis=1, dtype=np.float32), x[:, :WORDS:7].sum(axis=1, dtype=np.float32), good))
-    return x[order], good[order]
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("x", pa.binary()), ("good", pa.float64())]))
+        good = got.column("good").to_numpy()
+        if len(np.unique(good >= 0.5)) < 2:
+            return
+        x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, WORDS + CHARS)
+        # an order that does not depend on the partitions
+        order = np.lexsort((x[:, WORDS:].sum(axis=1, dtype=np.float32), x[:, :WORDS:7].sum(axis=1, dtype=np.float32), good))
+        m = fit(x[order], good[order])
+        numbers = [pa.array([float(v)]) for v in (m.bias, m.scale, m.shift)]
+        yield pa.record_batch([pa.array([m.weights.tobytes()], pa.binary()), *numbers], ["weights", "bias", "scale", "shift"])
+
+    few = rows.select("text", F.col("good").cast("double").alias("good")).mapInArrow(extract, "x binary, good double")
+    found = few.repartition(1).mapInArrow(train, "weights binary, bias double, scale double, shift double").first()
+    return Model(np.frombuffer(found.weights, np.float64), found.bias, found.scale, found.shift) if found else None

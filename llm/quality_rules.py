@@ -5,7 +5,7 @@ words lie in repeated 8-word windows. Documents that pass are judged by the clas
 trained on labelled rows (1 good, 0 bad): one is kept if its probability of being good is at least ``THRESHOLD``.
 
 Training rows. ``MAX_LABELLED`` at most, the first by hash of their doc_id, half of them of each label; this bounds what
-comes to the driver (32 KiB a row). Everything else is over all rows.
+the one training task holds (16 KiB a row). Everything else is over all rows.
 
 Scale. The sample of ids is broadcast (bounded); scoring is one map over the table, without a shuffle.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.linear import Model, fit, gather
+from llm.linear import Model, fit_rows
 from llm.words import SPACED, Words, chunks, mix, words
 
 MAX_LABELLED = 3000
@@ -94,8 +94,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
-    x, good = gather(sample_labelled(docs, labels, most))
-    return fit(x, good) if len(np.unique(good)) == 2 else None
+    return fit_rows(sample_labelled(docs, labels, most))
 
 
 def _score(texts: pa.Array, model: Model | None, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.linear import Model, fit, gather
+from llm.linear import Model, fit_rows
 from llm.quality_rules import per_text
 from llm.shared import durable
 from llm.words import SPACED, Words, chunks, words
@@ -134,8 +134,8 @@ def train(docs: DataFrame, most: int = MAX_TRAIN) -> tuple[Model | None, dict[in
         ids = own if ids is None else ids.union(own)
     known = F.create_map(*(F.lit(x) for c, p in posterior.items() for x in (c, p)))
     sample = ids.dropDuplicates(["doc_id"]).select("doc_id", F.element_at(known, F.col("pattern")).alias("good"))
-    x, y = gather(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "good").limit(2 * most))
-    return (fit(x, y) if len(np.unique(y >= 0.5)) == 2 else None), posterior
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "good").limit(2 * most)
+    return fit_rows(rows), posterior
 
 
 schema = "doc_id long, n_words long, posterior double, probability double, kept boolean"
