@@ -11,6 +11,7 @@ from keydrift.operators.diffs import (
     expand,
     inserted,
     order_by_key,
+    row_counts,
     tally,
     totals,
 )
@@ -33,6 +34,7 @@ __all__ = [
     "ledger",
     "normalize_rows",
     "order_by_key",
+    "row_counts",
     "tally",
     "totals",
 ]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.functions.keys import joined_key, named, require_columns
+from keydrift.functions.keys import joined_key, require_columns
 from keydrift.operators.ledgers import DELETE, INSERT, UPDATE, ledger, presence_ledger
-from keydrift.operators.normalize import drop_deleted, normalize_rows
+from keydrift.operators.normalize import drop_deleted, with_key_parts
 from keydrift.options import DiffOptions
 
 DIFF_COLUMNS = ("key", "status", "changed_columns")
@@ -19,11 +19,12 @@ REPEAT_CHUNK = 1 << 16
 def expand(entries: DataFrame, ordered: bool = False) -> DataFrame:
     """The diff rows behind ledger entries, each repeated ``n_rows`` times.
 
-    Repeats go out in chunks, and the order includes the chunk: however often
-    one key repeats, its chunks spread over several sorted partitions.
+    Repeats go out in chunks, which are dealt out (or sorted) before any row is
+    repeated: however often one key repeats, its rows spread over many partitions.
     """
     wanted = entries.where(F.col("status").isNotNull())
-    last_chunk = ((F.col("n_rows") - 1) / REPEAT_CHUNK).cast("bigint")
+    last_chunk = F.expr(f"(n_rows - 1) div {REPEAT_CHUNK}").cast("bigint")
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = wanted.select(
         *DIFF_COLUMNS,
         "n_rows",
@@ -31,6 +32,8 @@ def expand(entries: DataFrame, ordered: bool = False) -> DataFrame:
     )
     if ordered:
         chunks = chunks.orderBy("key", "status", "_chunk")
+    else:
+        chunks = chunks.repartition(partitions, "key", "status", "_chunk")
     left = F.col("n_rows") - F.col("_chunk") * REPEAT_CHUNK
     copies = F.array_repeat(F.lit(0), F.least(left, F.lit(REPEAT_CHUNK)).cast("int"))
     return chunks.select(*DIFF_COLUMNS, F.explode(copies).alias("_copy")).select(*DIFF_COLUMNS)
@@ -92,7 +95,7 @@ def totals(entries: DataFrame) -> DataFrame:
     """One row: ``rows_before, rows_after, rows_diff`` of a ledger or a tally."""
 
     def total(column) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+        return F.coalesce(F.sum(column), F.lit(0).cast("bigint"))
 
     found = F.when(F.col("status").isNotNull(), F.col("n_rows"))
     return entries.agg(
@@ -102,12 +105,21 @@ def totals(entries: DataFrame) -> DataFrame:
     )
 
 
+def row_counts(before: DataFrame, after: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """One row: ``rows_before, rows_after``, the live rows of each side; reads the operation only."""
+    old = drop_deleted(before, options).select(F.lit(1).alias("b"), F.lit(0).alias("a"))
+    new = drop_deleted(after, options).select(F.lit(0).alias("b"), F.lit(1).alias("a"))
+    counted = old.union(new).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    zero = F.lit(0).cast("bigint")
+    return counted.select(F.coalesce("b", zero).alias("rows_before"), F.coalesce("a", zero).alias("rows_after"))
+
+
 def diff_summary(entries: DataFrame) -> DataFrame:
     """Diff rows per status and set of changed columns."""
     return (
         entries.where(F.col("status").isNotNull())
         .groupBy("status", "changed_columns")
-        .agg(F.sum("n_rows").cast("bigint").alias("rows_diff"))
+        .agg(F.sum("n_rows").alias("rows_diff"))
     )
 
 
@@ -135,7 +147,7 @@ def all_keys(before: DataFrame, after: DataFrame, options: DiffOptions = DiffOpt
 
     def keys(df: DataFrame, side: str) -> DataFrame:
         require_columns(df, options.primary_keys, side)
-        rows = normalize_rows(drop_deleted(df, options), options)
-        return rows.select(joined_key([named(k) for k in options.primary_keys]).alias("key"))
+        rows, parts = with_key_parts(drop_deleted(df, options), options)
+        return rows.select(joined_key(parts).alias("key"))
 
     return keys(before, "before").union(keys(after, "after")).distinct()

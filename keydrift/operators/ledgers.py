@@ -26,12 +26,16 @@ from keydrift.operators.normalize import (
     compared_columns,
     drop_deleted,
     normalization_steps,
+    with_key_parts,
 )
 from keydrift.options import ITEM_SEPARATOR, DiffOptions
 
 # The states a differing key can have.
 INSERT, DELETE, UPDATE = "INSERT", "DELETE", "UPDATE"
 
+# The type of ``n_rows`` where pairs are counted.
+PAIRS = "decimal(38,0)"
+
 LEDGER_COLUMNS = ("key", "status", "changed_columns", "n_rows", "rows_before", "rows_after")
 
 
@@ -112,12 +116,7 @@ def _last_rows(before: DataFrame, after: DataFrame, columns: list[str], options:
 
     def rows(df: DataFrame, name: str) -> DataFrame:
         live = add_missing_columns(drop_deleted(df, options), columns)
-        # keys are built from normalized values, as everything that is compared
-        slots = {k: f"_key_{i}" for i, k in enumerate(options.primary_keys)}
-        live = live.select("*", *[named(k).alias(slot) for k, slot in slots.items()])
-        for step in normalization_steps(options):
-            live = live.withColumns({slot: step(k, F.col(slot)) for k, slot in slots.items()})
-        parts = [F.col(slot).alias(k) for k, slot in slots.items()]
+        live, parts = with_key_parts(live, options)
         key = joined_key(parts) if options.key_mode == "text" else F.struct(*parts)
         order = F.struct(*[named(c) for c in options.order_by]) if options.order_by else F.lit(0)
         row = F.struct(*[named(c).cast("string").alias(c) for c in columns])
@@ -160,9 +159,9 @@ def raw_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> Dat
     per_key = distinct_rows.groupBy(*[named(k) for k in keys], "_lone").agg(
         F.sum("_old").alias("rows_before"),
         F.sum("_new").alias("rows_after"),
-        F.sum(F.col("_old") * F.col("_new")).alias("_equal"),
+        F.sum(_pairs("_old", "_new")).alias("_equal"),
     )
-    pairs = F.col("rows_before") * F.col("rows_after") - F.col("_equal")
+    pairs = (_pairs("rows_before", "rows_after") - F.col("_equal")).cast(PAIRS)
     return _counted(per_key, joined_key([named(k) for k in keys]), pairs)
 
 
@@ -176,7 +175,7 @@ def presence_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -
     per_key = rows.groupBy("_key", F.when(F.col("_key").isNull(), F.col("_old")).alias("_lone")).agg(
         F.sum("_old").alias("rows_before"), F.sum("_new").alias("rows_after")
     )
-    return _counted(per_key, F.col("_key"), F.col("rows_before") * F.col("rows_after"))
+    return _counted(per_key, F.col("_key"), _pairs("rows_before", "rows_after"))
 
 
 def fingerprint_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
@@ -223,6 +222,11 @@ def _both_sides(before: DataFrame, after: DataFrame, options: DiffOptions) -> Da
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def _pairs(old: str, new: str) -> Column:
+    """The product of two counts: a hot key has more pairs than 64 bits can hold."""
+    return (F.col(old).cast("decimal(19,0)") * F.col(new).cast("decimal(19,0)")).cast(PAIRS)
+
+
 def _any_null(columns: list[Column]) -> Column:
     lone = columns[0].isNull()
     for column in columns[1:]:

@@ -84,3 +84,12 @@ def normalize_rows(
     for step in normalization_steps(options):
         df = df.select(*kept, *[step(c, named(c)).alias(c) for c in columns])
     return df
+
+
+def with_key_parts(df: DataFrame, options: DiffOptions) -> tuple[DataFrame, list[Column]]:
+    """The rows, and their key columns normalized, as everything that is compared."""
+    slots = {k: f"_key_{i}" for i, k in enumerate(options.primary_keys)}
+    df = df.select("*", *[named(k).alias(slot) for k, slot in slots.items()])
+    for step in normalization_steps(options):
+        df = df.withColumns({slot: step(k, F.col(slot)) for k, slot in slots.items()})
+    return df, [F.col(slot).alias(k) for k, slot in slots.items()]

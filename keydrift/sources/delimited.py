@@ -70,11 +70,9 @@ def _scan(
     names = list(columns) + ([corrupt_column] if corrupt_column else [])
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
     reader = spark.read.options(**options).schema(schema)
+    reader = reader.option("enforceSchema", False)
     if corrupt_column:
-        # The checked header cannot hold the extra column.
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    else:
-        reader = reader.option("enforceSchema", False)
     df = reader.csv(paths)
     if not row_order:
         return df
@@ -105,7 +103,9 @@ def _varying_components(path: str) -> int:
 def _read_by_name(
     spark: SparkSession, paths: list[str], options: dict, row_order: bool, corrupt_column: str | None
 ) -> DataFrame:
-    files = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
+    # the listed names are names, not patterns
+    listed = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
+    files = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in listed]
 
     def header(file: str) -> tuple[str, ...]:
         return tuple(spark.read.options(**options).csv(file).columns)
@@ -114,9 +114,10 @@ def _read_by_name(
         found = list(pool.map(header, files))
     groups: dict[tuple[str, ...], list[str]] = {}
     for file, names in zip(files, found):
-        groups.setdefault(names, []).append(file)
-    if len(groups) == 1:
-        return _scan(spark, paths, options, list(found[0]), row_order, corrupt_column)
+        if names:  # an empty file has no header, and no rows
+            groups.setdefault(names, []).append(file)
+    if len(groups) <= 1:
+        return _scan(spark, paths, options, list(*groups), row_order, corrupt_column)
     scans = [
         _scan(spark, members, options, list(names), row_order, corrupt_column, whole_path=True)
         for names, members in groups.items()

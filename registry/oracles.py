@@ -5,19 +5,20 @@ Written for DuckDB, from the rules rather than from the Spark plans.
 
 from __future__ import annotations
 
-from keydrift.functions.rng import (
-    FIRST_MULTIPLIER,
-    INCREMENT,
-    INDEX_MULTIPLIER,
-    SECOND_MULTIPLIER,
-    STREAM_MULTIPLIER,
-    WORD,
-)
-from keydrift.functions.text import whitespace_characters
-from keydrift.plans.generator import MUTATIONS, SHUFFLES, parse_optype_ratio
 from registry.queries import GENERATOR
 
-SPACE = "'" + whitespace_characters() + "'"
+# Fixed values, stated here once more so that these queries check the engine's.
+SPACE_CODES = (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
+SPACE = "'" + "".join(map(chr, SPACE_CODES)) + "'"
+WORD = 1 << 64
+INDEX_MULTIPLIER = 0x9E3779B185EBCA87
+STREAM_MULTIPLIER = 0xD1B54A32D192ED03
+INCREMENT = 0x9E3779B97F4A7C15
+FIRST_MULTIPLIER = 0xBF58476D1CE4E5B9
+SECOND_MULTIPLIER = 0x94D049BB133111EB
+OPERATIONS = (("U", 0.9), ("I", 0.98), ("D", 1.0))
+SHUFFLES = {"before": {"tags": 700, "levels": 710, "ts": 720}, "after": {"tags": 730, "levels": 740, "ts": 750}}
+MUTATIONS = {"tags": (761, "99999999"), "levels": (762, "99"), "ts": (763, "2026-02-01 00:00:00")}
 
 
 # --- text --------------------------------------------------------------------------------
@@ -105,10 +106,10 @@ def normalized(source: str, strictness: str, keys: list[str], extra: str = "") -
       FROM {source}"""
 
 
-def line_diff(strictness: str, composite: bool = False) -> str:
-    """CTEs up to ``keyed``: the last normalized row of every key, both sides side by side."""
+def line_diff(strictness: str, composite: bool = False, more: tuple[str, ...] = ()) -> str:
+    """CTEs up to ``keyed``: the last normalized row of every key, both sides side by side; ``more`` are further key columns."""
     keys = ["order_id", "line_no"] if composite else ["user_id"]
-    key = " || '||' || ".join(keys)
+    key = " || '||' || ".join([*keys, *more])
     compared = ["levels", "op_type", "tags", "timestamps"]
     sides = []
     for side, source in (("b", "before_s"), ("a", "after_s")):
@@ -291,7 +292,7 @@ def presence() -> tuple[str, str, str]:
 
 
 def operation() -> str:
-    steps = parse_optype_ratio(GENERATOR.optype_ratio)
+    steps = OPERATIONS
     cases = " ".join(f"WHEN {unit(4)} <= {reached!r} THEN '{code}'" for code, reached in steps[:-1])
     return f"CASE {cases} ELSE '{steps[-1][0]}' END"
 
@@ -388,6 +389,8 @@ def oracles() -> dict[str, str]:
         "diff_a": f"{line_diff('A')} {found}",
         "diff_b": f"{line_diff('B')} {found}",
         "diff_composite_key": f"{line_diff('A', composite=True)} {found}",
+        "diff_key_op": f"{line_diff('A', more=('op_type',))} {found}",
+        "diff_key_list": f"{line_diff('A', more=('levels',))} {found}",
         "diff_raw_full_outer": f"{RAW_LINES} {pairs}",
         "diff_fingerprint": f"""{LINES}{fingerprints('before_s', 'after_s', 'user_id', LINE_ROW, LAST_LINE)}
           SELECT key, status, '' AS changed_columns FROM prints, range(n_rows)""",

@@ -30,8 +30,8 @@ from keydrift.operators import (
     ledger,
     normalize_rows,
     order_by_key,
-    totals,
 )
+from keydrift.operators import row_counts as live_rows
 from keydrift.options import DiffOptions, GeneratorOptions
 from keydrift.plans.comparison import strategy_matrix
 from keydrift.plans.durable import shared_path
@@ -176,18 +176,23 @@ def _line_diff(mode="normalized", options=LINE_OPTIONS, **kw) -> Query:
     return query
 
 
+def _as_bigint(counts: DataFrame) -> DataFrame:
+    """Counts of pairs are decimals; those of these tables fit."""
+    return counts.withColumn("n_rows", F.col("n_rows").cast("bigint"))
+
+
 def _line_counts(mode) -> Query:
     """Keys repeat in the line items, so pairs of rows are counted, not listed."""
 
     def query(spark, sf_dir):
-        return diff_counts(*line_snapshots(spark, sf_dir), mode, LINE_OPTIONS)
+        return _as_bigint(diff_counts(*line_snapshots(spark, sf_dir), mode, LINE_OPTIONS))
 
     return query
 
 
 def _event_diff(mode, options=EVENT_OPTIONS) -> Query:
     def query(spark, sf_dir):
-        return diff_counts(*event_snapshots(spark, sf_dir), mode, options)
+        return _as_bigint(diff_counts(*event_snapshots(spark, sf_dir), mode, options))
 
     return query
 
@@ -221,7 +226,7 @@ def presence_deletes(spark, sf_dir):
 
 
 def presence_common(spark, sf_dir):
-    return diff_counts(*_order_keys(spark, sf_dir), "presence").where(F.col("status") == "UPDATE")
+    return _as_bigint(diff_counts(*_order_keys(spark, sf_dir), "presence")).where(F.col("status") == "UPDATE")
 
 
 def diff_schema_drift(spark, sf_dir):
@@ -245,8 +250,7 @@ def dedup_last(spark, sf_dir):
 
 
 def row_counts(spark, sf_dir):
-    counts = totals(ledger(*line_snapshots(spark, sf_dir), "normalized", LINE_OPTIONS))
-    return counts.select("rows_before", "rows_after")
+    return live_rows(*line_snapshots(spark, sf_dir), LINE_OPTIONS)
 
 
 def summary(spark, sf_dir):
@@ -256,7 +260,7 @@ def summary(spark, sf_dir):
 def matrix(spark, sf_dir):
     before, after = line_snapshots(spark, sf_dir)
     found = strategy_matrix(before, after, ("normalized", "raw", "fingerprint", "presence", "unknown"), LINE_OPTIONS)
-    return found.select("mode", "success", "rows_before", "rows_after", "rows_diff")
+    return found.select("mode", "success", "rows_before", "rows_after", F.col("rows_diff").cast("bigint").alias("rows_diff"))
 
 
 # --- generator ---------------------------------------------------------------------------
@@ -356,6 +360,8 @@ QUERIES: dict[str, Query] = {
     "diff_a": _line_diff(),
     "diff_b": _line_diff(options=STRICT),
     "diff_composite_key": _line_diff(options=COMPOSITE_OPTIONS),
+    "diff_key_op": _line_diff(options=LINE_OPTIONS.with_(primary_keys=("user_id", "op_type"))),
+    "diff_key_list": _line_diff(options=LINE_OPTIONS.with_(primary_keys=("user_id", "levels"))),
     "diff_raw_full_outer": _line_counts("raw"),
     "diff_fingerprint": _line_diff("fingerprint"),
     "diff_presence": _line_counts("presence"),

@@ -1,19 +1,16 @@
 """Comparison of small row lists in plain Python, the yardstick for the tests."""
 
+import re
 from collections import Counter
 
-
-def _int_or_text(item):
-    try:
-        return (0, int(item))
-    except ValueError:
-        return (1, item)
+INTEGER = re.compile(r"[+-]?\d+(?:_\d+)*")
 
 
 def list_text(value, integers=False, sep="|"):
-    items = [i.strip() for i in (value or "").strip().split(sep) if i.strip()]
-    ranked = sorted(map(_int_or_text, items)) if integers else [(1, i) for i in sorted(items)]
-    return sep.join(str(v) for _, v in ranked)
+    items = [stripped for part in (value or "").split(sep) if (stripped := part.strip())]
+    digits = lambda item: sum(c.isdigit() for c in item)
+    whole = [i for i in items if integers and INTEGER.fullmatch(i) and digits(i) <= 4300]
+    return sep.join([str(n) for n in sorted(map(int, whole))] + sorted(i for i in items if i not in whole))
 
 
 def op(value):
@@ -31,28 +28,17 @@ def normalized(row, strictness, lists=("tags", "levels"), text_lists=("timestamp
     return out
 
 
-def last_rows(rows, strictness, keys, **kw):
-    found = {}
-    for row in rows:
-        if op(row.get("op_type")) != "D":
-            norm = normalized(row, strictness, **kw)
-            found["||".join(norm[k] for k in keys)] = norm
-    return found
+def last_facts(rows, strictness, keys, **kw):
+    """Of each key's last live row the (column, value) pairs that are not blank."""
+    live = [normalized(row, strictness, **kw) for row in rows if op(row.get("op_type")) != "D"]
+    return {"||".join(row[k] for k in keys): {f for f in row.items() if f[1]} for row in live}
 
 
 def normalized_diff(before, after, strictness="A", keys=("user_id",), **kw):
-    b, a = last_rows(before, strictness, keys, **kw), last_rows(after, strictness, keys, **kw)
-    out = []
-    for key in sorted(b.keys() | a.keys()):
-        if key not in b:
-            out.append((key, "INSERT", ""))
-        elif key not in a:
-            out.append((key, "DELETE", ""))
-        else:
-            names = sorted(c for c in b[key].keys() | a[key].keys() if b[key].get(c, "") != a[key].get(c, ""))
-            if names:
-                out.append((key, "UPDATE", "|".join(names)))
-    return out
+    old, new = (last_facts(rows, strictness, keys, **kw) for rows in (before, after))
+    one_sided = [(k, "INSERT", "") for k in new.keys() - old.keys()] + [(k, "DELETE", "") for k in old.keys() - new.keys()]
+    apart = {k: {column for column, _ in old[k] ^ new[k]} for k in old.keys() & new.keys()}
+    return sorted(one_sided + [(k, "UPDATE", "|".join(sorted(columns))) for k, columns in apart.items() if columns])
 
 
 def _joined(row, keys):

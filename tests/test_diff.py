@@ -264,3 +264,28 @@ def test_keys_are_built_from_normalized_values(spark, key_mode, keys, before, af
     old, new = frame(spark, [row | before]), frame(spark, [row | after])
     assert diff(old, new, options=options).count() == 0
     assert all_keys(old, new, options).count() == 1
+
+
+def test_repeats_spread_over_partitions_before_they_are_written_out(spark):
+    entry = "'k' AS key, 'INSERT' AS status, '' AS changed_columns, {} AS n_rows, 0L AS rows_before, 0L AS rows_after"
+    rows = expand(spark.range(1).selectExpr(*entry.format("1000000L").split(", ")))
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 1_000_000 and len(sizes) > 1
+    assert all(r["count"] < 1_000_000 for r in sizes)
+
+
+def test_pairs_beyond_64_bits(spark):
+    from keydrift.operators.ledgers import _pairs
+
+    many = spark.range(1).select(F.lit(4_000_000_000).alias("b"), F.lit(4_000_000_000).alias("a"))
+    assert int(many.select(_pairs("b", "a")).first()[0]) == 16 * 10**18
+
+
+@pytest.mark.parametrize("keys", [("user_id", "op_type"), ("tags",)])
+def test_keys_of_normalized_columns(spark, keys):
+    options = ORDERED.with_(primary_keys=keys)
+    rows = [dict(user_id="u1", tags="b|a", levels="1", timestamps="t", op_type="I")]
+    other = [dict(rows[0], tags="a|b", op_type="U")]
+    b, a = frame(spark, rows), frame(spark, other)
+    assert rows_of(diff(b, a, options=options)) == model.normalized_diff(rows, other, "A", keys) == []
+    assert all_keys(b, a, options).count() == 1

@@ -12,7 +12,8 @@ TABLES = Path("/root/testdata/sf0.001")
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.QUERIES.keys() == entry.oracles().keys()
+    assert entry.QUERIES.keys() <= entry.queries().keys() >= entry.oracle_sql().keys()
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="the tables are not here")

@@ -141,10 +141,11 @@ def test_compare_writes_and_counts(spark, pair, tmp_path):
 
 def test_an_empty_diff_is_written_too(spark, pair, tmp_path):
     before, after, options = read_pair(spark, pair[0], pair[0])
-    for mode in ("normalized", "fingerprint"):
-        result = compare(before, after, str(tmp_path / "out"), mode, options)
+    for mode, expanded in (("normalized", False), ("fingerprint", False), ("fingerprint", True)):
+        result = compare(before, after, str(tmp_path / "out"), mode, options, expanded=expanded)
         assert result.rows_diff == 0
-        assert files(result.diff_path, ".csv")[0].read_text() == "key,status,changed_columns\n"
+        counted = ",n_rows" if mode == "fingerprint" and not expanded else ""
+        assert files(result.diff_path, ".csv")[0].read_text() == f"key,status,changed_columns{counted}\n"
 
 
 def test_benchmark_reports_failures(spark, pair, tmp_path):
@@ -188,6 +189,10 @@ def test_job(spark, pair, tmp_path):
         run_job(spark, {**conf, "action": "wipe"})
     with pytest.raises(ValueError, match="unknown comparison mode"):
         run_job(spark, {**conf, "modes": "other"})
+    with pytest.raises(ValueError, match="unknown settings: headres"):
+        run_job(spark, {**conf, "headres": "same"})
+    with pytest.raises(KeyError, match="out_prefix"):
+        run_job(spark, {"bucket": "b", "before_key": "x", "after_key": "y"})
 
 
 def test_publish(spark, pair, tmp_path):
@@ -203,3 +208,34 @@ def test_publish(spark, pair, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError, match="nothing to publish"):
         publish_dataset(spark, str(tmp_path / "empty"), target)
+
+
+def test_headers_are_checked_with_a_corrupt_column_too(spark, tmp_path):
+    (tmp_path / "1.tsv").write_text("k\tv\n1\tx\n")
+    (tmp_path / "2.tsv").write_text("v\tk\ny\t2\n")
+    with pytest.raises(Exception, match="header"):
+        read_delimited(spark, str(tmp_path), corrupt_column="bad").collect()
+
+
+def test_empty_files_and_bracketed_names(spark, tmp_path):
+    (tmp_path / "a[1].tsv").write_text("k\tv\n1\tx\n")
+    (tmp_path / "b.tsv").write_text("v\tk\ny\t2\n")
+    (tmp_path / "c.tsv").write_text("")
+    df = read_delimited(spark, str(tmp_path), headers="by_name")
+    assert rows_of(df.select("k", "v")) == [("1", "x"), ("2", "y")]
+
+
+def test_publishing_keeps_every_line_in_order(spark, tmp_path):
+    folder = tmp_path / "src" / "before"
+    folder.mkdir(parents=True)
+    texts = ["k\tv\n" + "".join(f"{i}\t{n}\n" for i in range(n)) + "\t\n\n" for n in (2000, 3, 900)]
+    (folder / "part-0.tsv").write_text(texts[0])
+    with gzip.open(folder / "part-1.tsv.gz", "wt") as f:
+        f.write(texts[1])
+    (folder / "part-2.tsv").write_text(texts[2])
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    (target,) = publish_dataset(session, str(tmp_path / "src"), str(tmp_path / "dst"))
+    parts = sorted(p for p in Path(target).iterdir() if p.name.startswith("part-") and p.stat().st_size)
+    got = [(gzip.open(p, "rt") if p.suffix == ".gz" else p.open()).read() for p in parts]
+    assert [t for t in got if t] == texts
