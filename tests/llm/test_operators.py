@@ -215,3 +215,31 @@ def test_urls(spark):
     assert [got[i].verdict for i in (0, 2, 3, 4, 5, 6, 7)] == ["block", "allow", "block", "allow", "allow", "allow", "allow"]
     assert (got[7].host, got[7].path) == ("", "") and got[8].distrust > got[9].distrust > 0
     assert got[8].trust == 0 and url_filter.judge(table.limit(0)).count() == 0
+
+
+def test_near_dedup_of_large_groups(spark, monkeypatch):
+    """Groups of over ``SHORT`` sets, in which some members are linked with others but not with the hub."""
+    monkeypatch.setattr(near_dedup, "PART", 16)
+    rng = random.Random(6)
+    texts = []
+    for group in range(2):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for drift in range(60):
+            near = list(base)
+            for at in range(drift // 6):
+                near[at * 6] = f"d{group}x{at}"
+            near[59] = f"own{drift}"
+            texts.append(" ".join(near))
+    texts += texts[:40]
+    rng.shuffle(texts)
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(59)} for t in texts]
+    group = [{i} for i in range(len(texts))]
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for i in group[b]:
+                    group[i] = group[a]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.find(table, 2).collect()}
+    assert got == {i: min(own) for i, own in enumerate(group)}
