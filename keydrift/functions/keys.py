@@ -37,14 +37,16 @@ def nullable_key(parts: Sequence[Column]) -> Column:
     return F.concat(*pieces)
 
 
-def fingerprint(values: dict[str, Column]) -> Column:
-    """A 64-bit hash over (column, value) pairs, independent of column order.
+def fingerprint(values: dict[str, Column], wide: bool = False) -> Column:
+    """A hash over (column, value) pairs, independent of column order: 64 bits, or with ``wide`` 256 (SHA-2).
 
     Null is hashed as blank: xxhash64 skips nulls, so rows that differ only in
-    which column is null would collide otherwise.
+    which column is null would collide otherwise. The wide hash takes each value
+    with its length, so that no two rows spell the same text.
     """
     names = sorted(values)
-    return F.xxhash64(
-        F.lit("\x1f".join(names)),
-        *[F.coalesce(values[n].cast("string"), F.lit("")) for n in names],
-    )
+    texts = [F.coalesce(values[n].cast("string"), F.lit("")) for n in names]
+    if not wide:
+        return F.xxhash64(F.lit("\x1f".join(names)), *texts)
+    sized = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in [*map(F.lit, names), *texts]]
+    return F.unhex(F.sha2(F.concat(*sized).cast("binary"), 256))

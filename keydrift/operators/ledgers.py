@@ -181,7 +181,7 @@ def presence_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -
 def fingerprint_ledger(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
     """Each after row against the fingerprint of its key's last before row.
 
-    Only the key, 8 bytes of hash and the order columns are shuffled. The first
+    Only the key, 8 bytes of hash (32 with ``wide_fingerprint``) and the order columns are shuffled. The first
     aggregate counts equal rows, the second finds the last before row's count.
     """
     require_columns(before, options.primary_keys, "before")
@@ -192,7 +192,7 @@ def fingerprint_ledger(before: DataFrame, after: DataFrame, options: DiffOptions
         order = F.struct(F.lit(0), *[named(c) for c in options.order_by]) if old else F.lit(None)
         return df.select(
             joined_key([named(k) for k in options.primary_keys]).alias("_key"),
-            fingerprint(values).alias("_print"),
+            fingerprint(values, options.wide_fingerprint).alias("_print"),
             order.alias("_order"),
             F.lit(old).cast("bigint").alias("_old"),
             F.lit(1 - old).cast("bigint").alias("_new"),

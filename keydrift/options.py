@@ -26,7 +26,8 @@ class DiffOptions:
     one key is the last; they are bookkeeping and are not compared. With
     ``unique_keys`` the caller vouches that no key repeats on a side, which
     saves the per-key reduction. ``key_mode="struct"`` keeps apart composite keys
-    that read the same once joined to text.
+    that read the same once joined to text. ``wide_fingerprint`` makes the fingerprint
+    mode compare 256-bit hashes, which rows that differ do not share in practice.
     """
 
     primary_keys: tuple[str, ...] = DEFAULT_KEYS
@@ -38,6 +39,7 @@ class DiffOptions:
     order_by: tuple[str, ...] = ()
     unique_keys: bool = False
     key_mode: str = "text"
+    wide_fingerprint: bool = False
 
     def __post_init__(self) -> None:
         for name in ("primary_keys", "list_columns", "text_list_columns", "order_by"):

@@ -5,6 +5,7 @@ from keydrift.sinks.report import (
     CompareResult,
     render_markdown,
     results_frame,
+    write_file,
     write_json,
     write_markdown,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "results_frame",
     "write_delimited",
     "write_diff",
+    "write_file",
     "write_json",
     "write_markdown",
 ]

@@ -158,6 +158,7 @@ def fingerprints(before: str, after: str, key: str, row: str, last: str) -> str:
 
 LINE_ROW = "tags || chr(1) || levels || chr(1) || timestamps || chr(1) || op_type"
 LINES = f"WITH {line_snapshots()}"
+COMPOSITE_KEY = "order_id || '||' || line_no"
 RAW_LINES = LINES + counted_pairs("before_s", "after_s", "user_id", LINE_ROW)
 PRESENT_LINES = LINES + counted_pairs("before_s", "after_s", "user_id", None)
 
@@ -394,6 +395,7 @@ def oracles() -> dict[str, str]:
         "diff_raw_full_outer": f"{RAW_LINES} {pairs}",
         "diff_fingerprint": f"""{LINES}{fingerprints('before_s', 'after_s', 'user_id', LINE_ROW, LAST_LINE)}
           SELECT key, status, '' AS changed_columns FROM prints, range(n_rows)""",
+        "diff_raw_composite": f"WITH {line_snapshots(True)}{counted_pairs('before_s', 'after_s', COMPOSITE_KEY, LINE_ROW)} {pairs}",
         "diff_presence": f"{PRESENT_LINES} {pairs}",
         "diff_repeated": f"""{EVENTS}, {event_sides}
           SELECT coalesce(b.key, a.key) AS key,
@@ -447,6 +449,13 @@ def oracles() -> dict[str, str]:
             CASE CAST(order_id AS BIGINT) % 4 WHEN 0 THEN order_id
               WHEN 1 THEN order_id || ';' || status || ';' || status || ';' || status END AS bad_line
           FROM ({ORDER_TEXT})""",
+        "scan_header_only": ORDER_TEXT,
+        "sink_overwrite": f"SELECT * FROM ({ORDER_TEXT}) WHERE status <> 'F'",
+        "publish_roundtrip": """SELECT side, n AS rows_before, n AS rows_after, CAST(0 AS BIGINT) AS rows_diff FROM (
+          SELECT 'before' AS side, count_if(o_orderstatus <> 'F') AS n FROM orders
+          UNION ALL SELECT 'after', count(*) FROM orders)""",
+        "job_compare": f"{line_diff('B')} {found}",
+        "job_benchmark": matrix(),
         "sink_diff_csv": f"{line_diff('A')} {found}",
         "gen_rand": f"""SELECT idx, upper(printf('%016x', CAST({bits(7)} AS UBIGINT))) AS bits, {unit(7)} AS unit
           FROM ({ORDER_INDICES})""",
@@ -471,6 +480,7 @@ def oracles() -> dict[str, str]:
           count_if({in_after}) AS rows_after, count_if({mismatch}) AS mismatch_rows FROM ({ORDER_INDICES})""",
         "gen_before": side_rows("before"),
         "gen_after": side_rows("after"),
-        "gen_write": side_rows("after").replace(ORDER_INDICES, "SELECT range AS idx FROM range((SELECT count(*) FROM orders))"),
+        "gen_write": side_rows("after"),
     }
+    result["diff_fingerprint_wide"] = result["diff_fingerprint"]
     return result

@@ -30,10 +30,11 @@ from keydrift.operators import (
     ledger,
     normalize_rows,
     order_by_key,
+    totals,
 )
 from keydrift.operators import row_counts as live_rows
 from keydrift.options import DiffOptions, GeneratorOptions
-from keydrift.plans.comparison import strategy_matrix
+from keydrift.plans.comparison import read_pair, strategy_matrix
 from keydrift.plans.durable import shared_path
 from keydrift.plans.generator import (
     MUTATIONS,
@@ -41,7 +42,6 @@ from keydrift.plans.generator import (
     base_lists,
     bits_of,
     file_of_rank,
-    generated_files,
     mutated,
     operation,
     permuted_index,
@@ -50,7 +50,8 @@ from keydrift.plans.generator import (
     shuffle_lists,
     side_rows,
 )
-from keydrift.sinks import read_diff, write_delimited, write_diff
+from keydrift.plans.job import run_job
+from keydrift.sinks import publish_dataset, read_diff, write_delimited, write_diff
 from keydrift.sources import read_delimited
 from registry.snapshots import (
     COMPOSITE_OPTIONS,
@@ -113,6 +114,60 @@ def scan_tolerant(spark, sf_dir):
     return read_delimited(spark, path, delimiter=";", corrupt_column="bad_line")
 
 
+def scan_header_only(spark, sf_dir):
+    """A folder of a file with nothing but a header and of files with rows."""
+    rows = order_text(spark, sf_dir)
+    root = shared_path(spark, "scan_header_only")
+    write_delimited(rows.limit(0), f"{root}/a")
+    write_delimited(rows, f"{root}/b")
+    return read_delimited(spark, f"{root}/*/part-*")
+
+
+def sink_overwrite(spark, sf_dir):
+    """What is written last is all that is there."""
+    rows = order_text(spark, sf_dir)
+    path = shared_path(spark, "sink_overwrite")
+    write_delimited(rows.where(F.col("status") == "F").repartition(7), path)
+    return read_delimited(spark, write_delimited(rows.where(F.col("status") != "F"), path))
+
+
+def publish_roundtrip(spark, sf_dir):
+    """The totals of the diff between a dataset and its published copy; the last row of a customer counts."""
+    root = shared_path(spark, "publish")
+    rows = order_text(spark, sf_dir).repartition(4, "order_id")
+    write_delimited(rows.where(F.col("status") != "F"), f"{root}/source/before")
+    write_delimited(rows, f"{root}/source/after", gzip=True)
+    publish_dataset(spark, f"{root}/source", f"{root}/target")
+    options = DiffOptions(primary_keys=("customer",), list_columns=(), text_list_columns=())
+    sides = [
+        totals(ledger(*compared[:2], "normalized", compared[2])).select(F.lit(side).alias("side"), "*")
+        for side in ("before", "after")
+        for compared in [read_pair(spark, f"{root}/source/{side}", f"{root}/target/{side}", options)]
+    ]
+    return sides[0].union(sides[1])
+
+
+def _stored_lines(spark, sf_dir) -> dict:
+    """The two snapshots as files whose line order is the order of the rows, and the settings to compare them."""
+    root = shared_path(spark, "lines")
+    for side, rows in zip(("before", "after"), line_snapshots(spark, sf_dir)):
+        write_delimited(rows.orderBy("seq").drop("seq"), f"{root}/{side}", gzip=True)
+    return {"before": f"{root}/before", "after": f"{root}/after", "out": f"{root}/out"}
+
+
+def job_compare(spark, sf_dir):
+    summary = run_job(spark, {**_stored_lines(spark, sf_dir), "strictness": "B"})
+    return read_diff(spark, summary["result"]["diff_path"])
+
+
+def job_benchmark(spark, sf_dir):
+    """The report file of a job that compares in all modes and in one that there is not."""
+    conf = _stored_lines(spark, sf_dir)
+    run_job(spark, {**conf, "action": "benchmark", "modes": "normalized,raw,fingerprint,presence,unknown"})
+    report = spark.read.json(f"{conf['out']}/benchmark.json", multiLine=True)
+    return report.select("mode", "success", "rows_before", "rows_after", "rows_diff")
+
+
 def sink_diff_csv(spark, sf_dir):
     before, after = line_snapshots(spark, sf_dir)
     path = write_diff(diff(before, after, options=LINE_OPTIONS), shared_path(spark, "sink_diff"))
@@ -181,11 +236,12 @@ def _as_bigint(counts: DataFrame) -> DataFrame:
     return counts.withColumn("n_rows", F.col("n_rows").cast("bigint"))
 
 
-def _line_counts(mode) -> Query:
+def _line_counts(mode, options=LINE_OPTIONS) -> Query:
     """Keys repeat in the line items, so pairs of rows are counted, not listed."""
 
     def query(spark, sf_dir):
-        return _as_bigint(diff_counts(*line_snapshots(spark, sf_dir), mode, LINE_OPTIONS))
+        sides = line_snapshots(spark, sf_dir, composite=options is COMPOSITE_OPTIONS)
+        return _as_bigint(diff_counts(*sides, mode, options))
 
     return query
 
@@ -342,9 +398,8 @@ def gen_manifest(spark, sf_dir):
 
 
 def gen_write(spark, sf_dir):
-    """As many rows as there are orders, written as files and read back."""
-    options = GENERATOR.with_(rows=_order_count(spark, sf_dir), num_files=5)
-    rows, _, _ = generated_files(spark, options, "after")
+    """The rows of all orders, written to several files and read back."""
+    rows = side_rows(order_indices(spark, sf_dir).repartition(5, "idx"), GENERATOR, "after")
     path = write_delimited(rows, shared_path(spark, "gen_write"), gzip=True)
     return read_delimited(spark, path)
 
@@ -363,7 +418,9 @@ QUERIES: dict[str, Query] = {
     "diff_key_op": _line_diff(options=LINE_OPTIONS.with_(primary_keys=("user_id", "op_type"))),
     "diff_key_list": _line_diff(options=LINE_OPTIONS.with_(primary_keys=("user_id", "levels"))),
     "diff_raw_full_outer": _line_counts("raw"),
+    "diff_raw_composite": _line_counts("raw", COMPOSITE_OPTIONS),
     "diff_fingerprint": _line_diff("fingerprint"),
+    "diff_fingerprint_wide": _line_diff("fingerprint", LINE_OPTIONS.with_(wide_fingerprint=True)),
     "diff_presence": _line_counts("presence"),
     "diff_repeated": diff_repeated,
     "diff_raw_repeated": _event_diff("raw"),
@@ -397,6 +454,11 @@ QUERIES: dict[str, Query] = {
     "scan_gzip": scan_gzip,
     "scan_glob_union": scan_glob_union,
     "scan_tolerant": scan_tolerant,
+    "scan_header_only": scan_header_only,
+    "sink_overwrite": sink_overwrite,
+    "publish_roundtrip": publish_roundtrip,
+    "job_compare": job_compare,
+    "job_benchmark": job_benchmark,
     "sink_diff_csv": sink_diff_csv,
     "gen_rand": gen_rand,
     "gen_op_type": _over_orders(("op_type", partial(operation, GENERATOR))),

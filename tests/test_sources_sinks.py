@@ -157,9 +157,9 @@ def test_benchmark_reports_failures(spark, pair, tmp_path):
         ("nonsense", False, 0),
         ("presence", True, 3),
     ]
-    lines = "".join(p.read_text() for p in files(out / "benchmark.json", ".json")).splitlines()
-    assert [json.loads(x)["mode"] for x in lines] == ["normalized", "nonsense", "presence"]
-    text = files(out / "benchmark.md", ".txt")[0].read_text()
+    stored = json.loads((out / "benchmark.json").read_text())
+    assert [r["mode"] for r in stored] == ["normalized", "nonsense", "presence"]
+    text = (out / "benchmark.md").read_text()
     assert "|presence|True|" in text and "unknown comparison mode" in text
     matrix = strategy_matrix(before, after, ["normalized", "nonsense"], options).collect()
     assert [(r["mode"], r["success"], r["rows_diff"]) for r in matrix] == [
@@ -168,6 +168,20 @@ def test_benchmark_reports_failures(spark, pair, tmp_path):
     ]
 
 
+@pytest.mark.parametrize(
+    ("old", "new"),
+    [("ab", "abb"), ("aab", "b"), ("b", "baa"), ("aab", "aab")],
+)
+def test_unique_keys_are_checked(spark, tmp_path, old, new):
+    def side(keys):
+        return spark.createDataFrame([(k, "x") for k in keys], "user_id string, tags string")
+
+    options = DiffOptions(unique_keys=True)
+    assert compare(side("ab"), side("bc"), str(tmp_path), options=options).rows_diff == 2
+    with pytest.raises(ValueError, match="repeats"):
+        compare(side(old), side(new), str(tmp_path), options=options)
+
+
 def test_modes_and_aliases():
     assert resolve_modes("duckdb, duckdb-opt,polars") == ["normalized", "raw"]
     assert resolve_modes(" ALL ") == ["normalized", "raw", "fingerprint", "presence"]
@@ -179,8 +193,7 @@ def test_job(spark, pair, tmp_path):
     conf = {"before": "file://" + pair[0], "after": "file://" + pair[1], "out": out, "strictness": "b"}
     summary = run_job(spark, conf)
     assert summary["result"]["rows_diff"] == 2
-    stored = files(tmp_path / "out/summary.json", ".txt")[0].read_text()
-    assert json.loads(stored) == summary
+    assert json.loads((tmp_path / "out/summary.json").read_text()) == summary
     summary = run_job(spark, {**conf, "action": "benchmark", "engines": "duckdb,polars-opt"})
     assert [r["mode"] for r in summary["results"]] == ["normalized", "presence"]
     with pytest.raises(ValueError, match="strictness"):
@@ -205,6 +218,7 @@ def test_publish(spark, pair, tmp_path):
     assert written == [f"{target}/before", f"{target}/after", f"{target}/manifest.json"]
     before, after, options = read_pair(spark, f"{target}/before", f"{target}/after")
     assert diff(before, after, options=options).count() == 2
+    assert json.loads((tmp_path / "dst/manifest.json").read_text()) == {"rows_before": 2}
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError, match="nothing to publish"):
         publish_dataset(spark, str(tmp_path / "empty"), target)
