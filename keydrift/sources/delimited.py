@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keydrift.functions.keys import named
+
 # Quoting as in ordinary CSV, where a quote inside quotes is doubled.
 DIALECT = {"quote": '"', "escape": '"'}
 
@@ -40,8 +45,9 @@ def read_delimited(
     are null. ``row_order`` adds a column that sorts rows by file, then by their
     place in it. Short rows are filled with null, surplus fields are dropped;
     ``corrupt_column`` receives the text of such rows. The scan splits files at
-    line breaks unless ``multi_line`` allows line breaks inside quotes. Lines of
-    nothing but white space are skipped.
+    line breaks unless ``multi_line`` allows line breaks inside quotes. A row of
+    blank fields is a row; lines without any character, and blank ones before the
+    header, are skipped.
     """
     if headers not in HEADER_MODES:
         raise ValueError(f"headers must be one of {HEADER_MODES}, got {headers!r}")
@@ -69,15 +75,17 @@ def _scan(
 ) -> DataFrame:
     names = list(columns) + ([corrupt_column] if corrupt_column else [])
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
-    reader = spark.read.options(**options).schema(schema)
-    reader = reader.option("enforceSchema", False)
+    parsing = {"sep": options["sep"], **DIALECT}
     if corrupt_column:
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    df = reader.csv(paths)
-    if not row_order:
-        return df
+        parsing["columnNameOfCorruptRecord"] = corrupt_column
+    if options["multiLine"]:
+        df = spark.read.options(**{**options, **parsing}).option("enforceSchema", False).schema(schema).csv(paths)
+        partitions = df.columns[len(names) :]
+    else:
+        df = spark.read.text(paths)
+        partitions = df.columns[1:]
     file = F.col("_metadata.file_path")
-    if len(paths) == 1 and df.columns == names and not whole_path:
+    if len(paths) == 1 and not partitions and not whole_path:
         # One pattern and no partition directories: the fixed head of the path can go.
         file = F.substring_index(file, "/", -_varying_components(paths[0]))
     position = F.struct(
@@ -86,7 +94,54 @@ def _scan(
         # Only ever compared within one block, and a block is read by one task.
         F.monotonically_increasing_id().alias("line"),
     )
-    return df.select("*", position.alias(ROW_ORDER))
+    order = [position.alias(ROW_ORDER)] if row_order else []
+    if options["multiLine"]:
+        return df.select("*", *order)
+    kept = [*map(named, partitions), *order]
+    lines = _data_lines(df, kept, columns, options["sep"])
+    fields = lines.select(F.from_csv("value", schema, parsing).alias("_fields"), *[named(c) for c in lines.columns[1:]])
+    return fields.select("_fields.*", *[named(c) for c in lines.columns[1:]])
+
+
+def _data_lines(lines: DataFrame, kept: list[Column], columns: list[str], delimiter: str) -> DataFrame:
+    """The lines without each file's header, which must name ``columns``, and without empty ones.
+
+    A header is the first line of its file that is not blank. Built-in expressions cannot tell the first line of a
+    file, as a task may read several files and parts of files, so the lines pass through Arrow batches. (The CSV
+    reader can, but it takes rows of blank fields for no rows.)
+    """
+    wanted = [c.lower() for c in columns]
+
+    def names(line: str) -> list[str]:
+        return [n.lower() for n in next(csv.reader([line], delimiter=delimiter), [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, headless = None, False
+        for batch in batches:
+            values, parts = batch.column(0), batch.column(1)
+            keep = pc.greater(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).copy()
+            runs = pc.run_end_encode(parts)
+            begin = 0
+            for end, part in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                if part != now:
+                    now, headless = part, part >= 0
+                at = begin
+                while headless and at < end:
+                    line = values[at].as_py()
+                    if line.strip():
+                        if names(line) != wanted:
+                            raise ValueError(f"a file has another header than {wanted}: {line[:1000]!r}")
+                        headless = False
+                    keep[at] = False
+                    at += 1
+                begin = end
+            yield batch.filter(pa.array(keep)).select([0, *range(2, batch.num_columns)])
+
+    # of a file's first part its hash, without sign; of later parts, which have no header, -1
+    file = F.xxhash64("_metadata.file_path").bitwiseAND(F.lit((1 << 63) - 1))
+    part = F.when(F.col("_metadata.file_block_start") == 0, file).otherwise(F.lit(-1).cast("bigint"))
+    rows = lines.select("value", part.alias("_part"), *kept)
+    return rows.mapInArrow(run, rows.drop("_part").schema)
 
 
 def _varying_components(path: str) -> int:

@@ -450,6 +450,8 @@ def oracles() -> dict[str, str]:
               WHEN 1 THEN order_id || ';' || status || ';' || status || ';' || status END AS bad_line
           FROM ({ORDER_TEXT})""",
         "scan_header_only": ORDER_TEXT,
+        "scan_blank_rows": f"""SELECT CASE WHEN CAST(order_id AS BIGINT) % 6 <> 0 THEN order_id END AS order_id,
+          CASE WHEN CAST(order_id AS BIGINT) % 6 <> 0 THEN status END AS status FROM ({ORDER_TEXT})""",
         "sink_overwrite": f"SELECT * FROM ({ORDER_TEXT}) WHERE status <> 'F'",
         "publish_roundtrip": """SELECT side, n AS rows_before, n AS rows_after, CAST(0 AS BIGINT) AS rows_diff FROM (
           SELECT 'before' AS side, count_if(o_orderstatus <> 'F') AS n FROM orders

@@ -123,6 +123,19 @@ def scan_header_only(spark, sf_dir):
     return read_delimited(spark, f"{root}/*/part-*")
 
 
+def scan_blank_rows(spark, sf_dir):
+    """Every sixth row has blank fields only: that is, nothing but delimiters."""
+    k = F.col("order_id").cast("bigint")
+    lines = order_text(spark, sf_dir).select(
+        F.when(k % 6 == 0, "\t").otherwise(F.concat_ws("\t", "order_id", "status")).alias("value")
+    )
+    path = shared_path(spark, "scan_blank_rows")
+    header = spark.range(1).select(F.lit("order_id\tstatus").alias("value"))
+    lines = header.select(F.lit(0).alias("place"), "value").union(lines.select(F.lit(1).alias("place"), "value"))
+    lines.orderBy("place").coalesce(1).select("value").write.text(path)
+    return read_delimited(spark, path)
+
+
 def sink_overwrite(spark, sf_dir):
     """What is written last is all that is there."""
     rows = order_text(spark, sf_dir)
@@ -455,6 +468,7 @@ QUERIES: dict[str, Query] = {
     "scan_glob_union": scan_glob_union,
     "scan_tolerant": scan_tolerant,
     "scan_header_only": scan_header_only,
+    "scan_blank_rows": scan_blank_rows,
     "sink_overwrite": sink_overwrite,
     "publish_roundtrip": publish_roundtrip,
     "job_compare": job_compare,

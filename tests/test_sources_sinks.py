@@ -231,6 +231,28 @@ def test_headers_are_checked_with_a_corrupt_column_too(spark, tmp_path):
         read_delimited(spark, str(tmp_path), corrupt_column="bad").collect()
 
 
+def test_rows_of_blank_fields_are_rows(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("\n \nk\tv\n\t\n1\tx\n\n \t \n")
+    (tmp_path / "b.tsv").write_text("k\tv\n")
+    (tmp_path / "c.tsv").write_text("")
+    (tmp_path / "d.tsv").write_text("k\tv\nk\tv\n   \n")
+    df = read_delimited(spark, str(tmp_path), row_order=True)
+    got = [(r.k, r.v) for r in df.orderBy(ROW_ORDER).collect()]
+    assert got == [(None, None), ("1", "x"), (" ", " "), ("k", "v"), ("   ", None)]
+
+
+def test_headers_of_split_files(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 2), ("c", 2500)):
+        (tmp_path / f"{name}.tsv").write_text("k\tv\n" + "".join(f"{name}{i:04}\t\n" for i in range(n)))
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    df = read_delimited(session, str(tmp_path), row_order=True)
+    assert df.rdd.getNumPartitions() > 5
+    want = [f"{name}{i:04}" for name, n in (("a", 3000), ("b", 2), ("c", 2500)) for i in range(n)]
+    assert [r.k for r in df.orderBy(ROW_ORDER).collect()] == want
+
+
 def test_empty_files_and_bracketed_names(spark, tmp_path):
     (tmp_path / "a[1].tsv").write_text("k\tv\n1\tx\n")
     (tmp_path / "b.tsv").write_text("v\tk\ny\t2\n")
