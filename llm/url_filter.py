@@ -12,7 +12,8 @@ Pages that no rule decides get their host's verdict.
 Scale. Pages are joined once, by host, with one row per host; links are counted per pair of hosts before
 they meet, so a host with a third of all pages costs one row per task and neighbour. Ranks are small tables
 of hosts, cut by checkpoints; each round is an equi-join and an aggregation, and the only number
-that comes to the driver is how far the ranks moved.
+that comes to the driver is how far the ranks moved. Rounds go on until no host's rank can still move by more than
+a small part of what it is compared with, ``threshold`` / hosts; their number grows with the logarithm of the hosts.
 
 Rows. A null url or one without ``://`` has empty host and path, which no rule fits, and is allowed. Null html
 has no links. Repeated rows are judged one by one. Empty tables give empty results. Other columns are not read.
@@ -63,14 +64,15 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, most: float) -> DataFrame:
     """Personalised PageRank of (kind, host) rows; seeds (kind, host, seed) sum to 1 in each kind.
 
     ``edges`` (kind, src, dst, part) have the share of src's rank that goes to dst. What hosts without
-    edges hold goes back to the seeds.
+    edges hold goes back to the seeds. Each round's summed move is at most ``damping`` times the one before, so all
+    later ones together are at most damping / (1 - damping) times the last; they end below ``most``.
     """
     ranks = seeds.withColumnRenamed("seed", "rank")
-    for at in range(rounds):
+    while True:
         moved = (
             edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
             .groupBy("kind", F.col("dst").alias("host"))
@@ -90,9 +92,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, t
             F.sum(F.abs(F.coalesce(F.col("rank"), F.lit(0.0)) - F.coalesce(F.col("old"), F.lit(0.0))))
         )
         ranks = new
-        if (far.first()[0] or 0.0) < tolerance:
-            break
-    return ranks
+        if (far.first()[0] or 0.0) * damping <= most * (1 - damping):
+            return ranks
 
 
 def judge(
@@ -100,15 +101,15 @@ def judge(
     rules=RULES,
     damping: float = 0.85,
     threshold: float = 0.5,
-    rounds: int = 12,
-    tolerance: float = 1e-4,
+    tolerance: float = 0.01,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule (or null), verdict, and the host's trust and distrust.
 
-    ``rules`` are pairs of rule and verdict, or a DataFrame with columns rule and verdict. ``rounds`` and
-    ``tolerance`` end the propagation; after 12 rounds what is left to move is below 0.85 ** 12 = 0.15 of the
-    rank, far from the threshold for all but borderline hosts.
+    ``rules`` are pairs of rule and verdict, or a DataFrame with columns rule and verdict. The propagation
+    ends when no rank can move by more than ``tolerance`` times threshold / hosts any more, however far from a seed.
     """
+    if threshold <= 0 or tolerance <= 0 or not 0 <= damping < 1:
+        raise ValueError("threshold and tolerance must be above 0, damping from 0 to below 1")
     if isinstance(rules, DataFrame):
         rule, verdict = F.col("rule"), F.col("verdict")
         table = rules.select(
@@ -153,10 +154,10 @@ def judge(
     ).where("kind is not null")
     sizes = seeds.groupBy("kind").agg(F.count("*").alias("k"))
     seeds = durable(seeds.join(sizes, "kind").select("kind", "host", (1 / F.col("k")).alias("seed")))
-    ranks = propagate(seeds, edges, damping, rounds, tolerance)
+    n_hosts = hosts.select("host").union(links.select("src")).union(links.select("dst")).distinct().count()
+    ranks = propagate(seeds, edges, damping, tolerance * threshold / max(n_hosts, 1))
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     scores = ranks.groupBy("host").agg(score("trust"), score("distrust"))
-    n_hosts = hosts.select("host").union(links.select("src")).union(links.select("dst")).distinct().count()
     of = lambda kind: F.coalesce(F.col(kind), F.lit(0.0))
     blocked = (of("distrust") > of("trust")) & (of("distrust") * n_hosts > threshold)
     return judged.join(scores, "host", "left").select(

@@ -217,6 +217,21 @@ def test_urls(spark):
     assert got[8].trust == 0 and url_filter.judge(table.limit(0)).count() == 0
 
 
+def test_urls_far_from_a_blocked_seed(spark):
+    """A chain of hosts that link to the one before, the first blocked, against ranks that have converged."""
+    chain, n_hosts = 25, 100
+    link = lambda i: f'<a href="http://h{i - 1}.org/">' if 0 < i < chain else ""
+    pages = [(i, f"http://h{i}.org/", link(i)) for i in range(n_hosts)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("h0.org/", "block")]).collect()
+    rank = [1.0] + [0.0] * (chain - 1)
+    for _ in range(500):
+        rank = [1 - 0.85 * sum(rank[:-1]), *(0.85 * r for r in rank[:-1])]
+    want = {i for i in range(chain) if rank[i] * n_hosts > 0.5}
+    assert max(want) > 13 and len(want) < chain
+    assert {r.page_id for r in got if r.verdict == "block"} == want
+    assert all(abs(r.distrust - (rank[r.page_id] if r.page_id < chain else 0)) <= 0.01 * 0.5 / n_hosts for r in got)
+
+
 def test_near_dedup_of_large_groups(spark, monkeypatch):
     """Groups of over ``SHORT`` sets, in which some members are linked with others but not with the hub."""
     monkeypatch.setattr(near_dedup, "PART", 16)
