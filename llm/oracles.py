@@ -127,4 +127,63 @@ SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
 FROM g LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM g.conv_id
 """
 
-ORACLES = {"op2_substrings": OP2, "op4_mixing": OP4, "op5_decontaminate": OP5, "op6_secrets": OP6, "op7_chat": OP7}
+# checksums by the table of the reflected polynomial; near words by what is left without one letter
+OP11 = r"""
+WITH RECURSIVE
+crc AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) AS c
+    FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256)))),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (
+  SELECT *, xor(4294967295, list_reduce(
+      list_transform(range(0, CAST(octet_length(encode(doc_id || ':' || run)) AS BIGINT)),
+        lambda i: CAST(('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i + 1, 2)) AS BIGINT)),
+      lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8), 4294967295)) AS h
+  FROM runs, crc),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+gaps AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM gaps x JOIN gaps y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM gaps x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word, x.n FROM gaps x JOIN words y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word),
+form AS MATERIALIZED (
+  SELECT b.word, n.other AS form, n.other_n AS form_n FROM best b JOIN near n ON b.word = n.word AND n.other_n = b.most JOIN words w ON b.word = w.word
+  WHERE b.most >= 2 * w.n QUALIFY row_number() OVER (PARTITION BY b.word ORDER BY encode(n.other)) = 1),
+chain AS (
+  SELECT word, word AS at FROM words UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON c.at = f.word),
+root AS (SELECT c.word, c.at AS root FROM chain c WHERE NOT EXISTS (FROM form f WHERE f.word = c.at))
+SELECT w.word, form, root, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n
+FROM words w LEFT JOIN best USING (word) LEFT JOIN form USING (word) JOIN root USING (word)
+"""
+
+# exact search: the trees prune, but at the size that SQL is compared at they lose nothing
+OP13 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.r, q.vec_id AS query_id, v.vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+ORACLES = {
+    "op2_substrings": OP2,
+    "op4_mixing": OP4,
+    "op5_decontaminate": OP5,
+    "op6_secrets": OP6,
+    "op7_chat": OP7,
+    "op11_variants": OP11,
+    "op13_neighbours": OP13,
+}

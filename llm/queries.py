@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, html_blocks, mixing, near_dedup, quality_rules, secrets, substring_dedup, url_filter, weak_labels
+from llm import (
+    alignment,
+    chat,
+    decontaminate,
+    html_blocks,
+    mixing,
+    near_dedup,
+    neighbours,
+    quality_rules,
+    secrets,
+    substring_dedup,
+    url_filter,
+    variants,
+    weak_labels,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -111,6 +125,18 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return weak_labels.judge(docs, *weak_labels.train(docs))
 
 
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.find(table(spark, folder, "documents"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.find(table(spark, folder, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.find(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substrings": op2_substrings,
@@ -122,4 +148,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op11_variants": op11_variants,
+    "op12_alignment": op12_alignment,
+    "op13_neighbours": op13_neighbours,
 }
