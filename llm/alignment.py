@@ -15,7 +15,7 @@ its documents up, so a pair is one row a chunk; the corpus-wide counts, and whet
 chunks by a join, and meet the chunk's tokens there.
 
 Scale. Texts are encoded once; kept are the ids, in files that executors share. Shuffled are the pairs of each chunk
-(``CHUNK`` bytes of text) and the ids. A row holds one chunk: some 5 MB, or a document, if that is longer. The most frequent pair has
+(``CHUNK`` bytes of text) and the compressed ids. A row holds one chunk: some 2 MB, or a document, if that is longer. The most frequent pair has
 one row a chunk, and an A id no more pairs than B has ids.
 
 Rows. Null and empty texts, and those that come to other bytes, have zeros and an empty digest. A null doc_id stays null.
@@ -42,7 +42,7 @@ from llm.shared import durable
 from llm.words import chunks
 
 TOKENIZERS = "/opt/tokenizers"
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Characters of a text that are encoded at once.
 PIECE = 1 << 16
 
@@ -83,16 +83,20 @@ class Encoders:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of A and B; none if either comes to other bytes than space + text."""
-        a, b = [], []
+        none = np.empty(0, np.int32)
+        if not text:
+            return none, none
+        parts_a, b = [none], []
         for at, piece in _pieces(text):
-            a += self.a.encode_ordinary(piece if at else " " + piece)
+            parts_a.append(self.a.encode_to_numpy(piece if at else " " + piece, disallowed_special=()).astype(np.int32))
             b += self.b.encode(piece[1:] if at else piece)
+        a = np.concatenate(parts_a)
         whole = b" " + text.encode()
-        if not text or b"".join(map(self.bytes_b.__getitem__, b)) != whole or b"".join(map(self.bytes_a.__getitem__, a)) != whole:
-            return [], []
-        return a, b
+        # A's tokens are pieces of the bytes themselves, so their length tells
+        same = self.sizes_a[a].sum() == len(whole) and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+        return (a, np.array(b, np.int32)) if same else (none, none)
 
 
 def _pieces(text: str) -> Iterator[tuple[int, str]]:
@@ -141,20 +145,32 @@ class Tokens:
         return number[:n], number[n:]
 
 
+def packed(ids: list[np.ndarray]) -> bytes:
+    """Ids as 32-bit numbers, compressed: they are written twice, to files and in a shuffle."""
+    return pa.Codec("zstd", compression_level=3).compress(np.concatenate([np.empty(0, np.int32), *ids]).tobytes(), asbytes=True)
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, decompressed_size=4 * n), np.int32)
+
+
 def tokens(row: dict, sizes_a: np.ndarray, sizes_b: np.ndarray) -> Tokens:
-    a, b = np.frombuffer(row["a"], np.int32), np.frombuffer(row["b"], np.int32)
+    a, b = unpacked(row["a"], sum(row["n_a"])), unpacked(row["b"], sum(row["n_b"]))
     return Tokens(np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64), a, b, np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b]))
 
 
 def spelled_groups(t: Tokens) -> list[str]:
     """Of each document ``a1,a2|b1;a3|b2,b3``: ids of A and of B, group by group."""
     group_a, group_b = t.groups()
-    group = np.concatenate((group_a, group_b))
-    side = np.concatenate((np.zeros(len(t.a), np.int64), np.ones(len(t.b), np.int64)))
-    order = np.lexsort((side, group))
-    group, side, ids = group[order], side[order], np.concatenate((t.a, t.b))[order]
-    mark = np.zeros(len(ids), np.int64)  # a comma, or what ends the A tokens or the group
-    mark[:-1] = np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(np.int64))
+    # groups follow each other: A's tokens stand behind B's of earlier groups, B's behind A's of their own
+    n = int(group_a[-1]) + 1 if len(group_a) else 0
+    in_a, in_b = (np.concatenate(([0], np.cumsum(np.bincount(g, minlength=n)))) for g in (group_a, group_b))
+    ids = np.empty(len(group_a) + len(group_b), np.int64)
+    mark = np.zeros(len(ids), np.int64)  # a comma, or what ends A's tokens or the group
+    ids[np.arange(len(t.a)) + in_b[group_a]] = t.a
+    ids[np.arange(len(t.b)) + in_a[group_b + 1]] = t.b
+    mark[in_a[1:] + in_b[:-1] - 1] = 1
+    mark[in_a[1:] + in_b[1:] - 1] = 2
     names = [f"{i}{m}" for i in range(int(ids.max()) + 1 if len(ids) else 0) for m in ",|;"]
     texts = list(map(names.__getitem__, (ids * 3 + mark).tolist()))
     cuts = np.concatenate(([0], np.cumsum(t.n_a + t.n_b)))
@@ -174,7 +190,6 @@ def encode(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
                 both = [encoders.encode(t or "") for t in part.column(1).to_pylist()]
-                blob = lambda side: np.concatenate([np.empty(0, np.int32), *(np.array(x[side], np.int32) for x in both)]).tobytes()  # noqa: B023, E731
                 yield pa.RecordBatch.from_pylist(
                     [
                         {
@@ -182,8 +197,8 @@ def encode(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
                             "doc_id": part.column(0).to_pylist(),
                             "n_a": [len(x) for x, _ in both],
                             "n_b": [len(y) for _, y in both],
-                            "a": blob(0),
-                            "b": blob(1),
+                            "a": packed([x for x, _ in both]),
+                            "b": packed([y for _, y in both]),
                         }
                     ],
                     pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int32())), ("n_b", pa.list_(pa.int32())), ("a", pa.binary()), ("b", pa.binary())]),
@@ -202,8 +217,8 @@ def align(encoded: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 doc, pair = tokens(row, *sizes.value).links()
-                ids, place = np.unique(pair, return_inverse=True)
-                each = np.unique(place.astype(np.int64) << 32 | doc)
+                ids = np.unique(pair)
+                each = np.unique(np.searchsorted(ids, pair) << 32 | doc)
                 n = np.bincount(each >> 32, minlength=len(ids))
                 yield pa.record_batch([pa.array(np.full(len(ids), row["chunk"])), pa.array(ids), pa.array(n)], ["chunk", "pair", "n"])
 
