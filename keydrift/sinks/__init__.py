@@ -1,6 +1,7 @@
 """Writers."""
 
-from keydrift.sinks.delimited import publish_dataset, read_diff, write_delimited, write_diff
+from keydrift.sinks.delimited import read_diff, write_delimited, write_diff
+from keydrift.sinks.publish import publish_dataset
 from keydrift.sinks.report import (
     CompareResult,
     render_markdown,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import csv
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -23,8 +23,8 @@ DIALECT = {"quote": '"', "escape": '"'}
 ROW_ORDER = "_row_order"
 HEADER_MODES = ("same", "by_name")
 
-# Headers are one tiny job per file, so a driver can have many under way.
-HEADER_THREADS = 32
+# A task that has read the header of a file up to this size reads on to its end, so that its Python worker can be used again.
+SMALL_FILE = 4 << 20
 
 
 def read_delimited(
@@ -38,10 +38,13 @@ def read_delimited(
 ) -> DataFrame:
     """All columns as text, named by the header line; blank fields are null.
 
+    Of a repeated name (in any case) the last column has it, the others are called after it and their place, which
+    counts from 0; a column without a name is called ``_c`` and its place.
+
     ``path`` is a file, a directory, a glob or a list of them, plain or gzip, on
     any file system Spark reaches. With ``headers="same"`` every file must have
-    the first file's header, which the scan itself checks. ``"by_name"`` looks at
-    each file's header up front and lines the columns up by name; absent ones
+    one header, which the scan itself checks. ``"by_name"`` looks at the headers
+    up front, all in one job, and lines the columns up by name; absent ones
     are null. ``row_order`` adds a column that sorts rows by file, then by their
     place in it. Short rows are filled with null, surplus fields are dropped;
     ``corrupt_column`` receives the text of such rows. The scan splits files at
@@ -56,30 +59,102 @@ def read_delimited(
     try:
         if headers == "by_name":
             return _read_by_name(spark, paths, options, row_order, corrupt_column)
-        columns = spark.read.options(**options).csv(paths).columns
-        return _scan(spark, paths, options, columns, row_order, corrupt_column)
+        return _scan(spark, paths, options, _one_header(spark, paths, options), row_order, corrupt_column)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no files match: {', '.join(paths)}") from exc
         raise
 
 
+def column_names(header: Sequence[str | None]) -> list[str]:
+    """Distinct names, in any case, for the fields of a header."""
+    left = Counter((h or "").lower() for h in header)
+    wanted, taken = [], set()
+    for place, name in enumerate(header):
+        left[(name or "").lower()] -= 1
+        if not name:
+            name = f"_c{place}"
+        elif left[name.lower()]:
+            name = f"{name}{place}"
+        wanted.append(name)
+    # a plain name goes before one that was made up
+    order = sorted(range(len(header)), key=lambda i: wanted[i] != header[i])
+    for i in order:
+        while wanted[i].lower() in taken:
+            wanted[i] += "_"
+        taken.add(wanted[i].lower())
+    return wanted
+
+
+def _fields(line: str, delimiter: str) -> list[str]:
+    return next(csv.reader([line], delimiter=delimiter), [])
+
+
+def _one_header(spark: SparkSession, paths: list[str], options: dict) -> list[str | None]:
+    """The header of some file; no names if all are empty."""
+    if options["multiLine"]:
+        first = spark.read.options(**{**options, "header": False}).csv(paths).head(1)
+        return list(first[0]) if first else []
+    lines = spark.read.text(paths)
+    first = lines.where((F.col("_metadata.file_block_start") == 0) & lines.value.rlike(r"\S")).select("value").head(1)
+    return _fields(first[0].value, options["sep"]) if first else []
+
+
+def header_index(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(header, files): each header line that there is, and the files that have it, in one job.
+
+    A task opens one file and reads its beginning: files are not split, and the task of a large one ends with the first line
+    that is not blank. Files without such a line are left out.
+    """
+    session = spark.newSession()
+    own = {
+        "spark.sql.files.maxPartitionBytes": str(1 << 50),
+        "spark.sql.files.openCostInBytes": str(1 << 50),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    }
+    for name, value in {**spark.conf.getAll, **own}.items():
+        if session.conf.isModifiable(name):
+            session.conf.set(name, value)
+    session.conf.unset("spark.sql.files.maxPartitionNum")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = False
+        for batch in batches:
+            place = 0
+            while not found and place < batch.num_rows:
+                if found := bool(batch.column(0)[place].as_py().strip()):
+                    yield batch.slice(place, 1).select([0, 1])
+                    if not batch.column(2)[0].as_py():
+                        return
+                place += 1
+
+    small = (F.col("_metadata.file_size") <= SMALL_FILE).alias("small")
+    lines = session.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), small)
+    found = lines.mapInArrow(run, "header string, file string")
+    return found.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
 def _scan(
     spark: SparkSession,
     paths: list[str],
     options: dict,
-    columns: list[str],
+    columns: Sequence[str | None],
     row_order: bool,
     corrupt_column: str | None,
     whole_path: bool = False,
 ) -> DataFrame:
-    names = list(columns) + ([corrupt_column] if corrupt_column else [])
+    header = [c or "" for c in columns]
+    names = column_names(columns)
+    if corrupt_column:
+        names.append(corrupt_column)
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
     parsing = {"sep": options["sep"], **DIALECT}
     if corrupt_column:
         parsing["columnNameOfCorruptRecord"] = corrupt_column
     if options["multiLine"]:
-        df = spark.read.options(**{**options, **parsing}).option("enforceSchema", False).schema(schema).csv(paths)
+        # the reader checks headers against the columns' names, which are not the header's if some had to be made up
+        made_up = names[: len(header)] != header
+        df = spark.read.options(**{**options, **parsing}).option("enforceSchema", made_up).schema(schema).csv(paths)
         partitions = df.columns[len(names) :]
     else:
         df = spark.read.text(paths)
@@ -98,19 +173,19 @@ def _scan(
     if options["multiLine"]:
         return df.select("*", *order)
     kept = [*map(named, partitions), *order]
-    lines = _data_lines(df, kept, columns, options["sep"])
+    lines = _data_lines(df, kept, header, options["sep"])
     fields = lines.select(F.from_csv("value", schema, parsing).alias("_fields"), *[named(c) for c in lines.columns[1:]])
     return fields.select("_fields.*", *[named(c) for c in lines.columns[1:]])
 
 
-def _data_lines(lines: DataFrame, kept: list[Column], columns: list[str], delimiter: str) -> DataFrame:
-    """The lines without each file's header, which must name ``columns``, and without empty ones.
+def _data_lines(lines: DataFrame, kept: list[Column], header: list[str], delimiter: str) -> DataFrame:
+    """The lines without each file's header, which must be ``header`` but for case, and without empty ones.
 
     A header is the first line of its file that is not blank. Built-in expressions cannot tell the first line of a
     file, as a task may read several files and parts of files, so the lines pass through Arrow batches. (The CSV
     reader can, but it takes rows of blank fields for no rows.)
     """
-    wanted = [c.lower() for c in columns]
+    wanted = [c.lower() for c in header]
 
     def names(line: str) -> list[str]:
         return [n.lower() for n in next(csv.reader([line], delimiter=delimiter), [])]
@@ -158,23 +233,30 @@ def _varying_components(path: str) -> int:
 def _read_by_name(
     spark: SparkSession, paths: list[str], options: dict, row_order: bool, corrupt_column: str | None
 ) -> DataFrame:
-    # the listed names are names, not patterns
-    listed = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
-    files = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in listed]
-
-    def header(file: str) -> tuple[str, ...]:
-        return tuple(spark.read.options(**options).csv(file).columns)
-
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        found = list(pool.map(header, files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, names in zip(files, found):
-        if names:  # an empty file has no header, and no rows
-            groups.setdefault(names, []).append(file)
+    groups: dict[tuple[str | None, ...], list[str]] = {}
+    if options["multiLine"]:
+        groups = _headers_of_blocks(spark, paths, options)
+    else:
+        for row in sorted(header_index(spark, paths).collect(), key=lambda row: row.files):
+            groups.setdefault(tuple(_fields(row.header, options["sep"])), []).extend(map(_literal, row.files))
     if len(groups) <= 1:
-        return _scan(spark, paths, options, list(*groups), row_order, corrupt_column)
+        return _scan(spark, paths, options, list(*groups), row_order, corrupt_column)  # also if no file has a header
     scans = [
         _scan(spark, members, options, list(names), row_order, corrupt_column, whole_path=True)
         for names, members in groups.items()
     ]
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
+
+
+def _literal(file: str) -> str:
+    """A listed file as a path: the listed names are names, not patterns."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(file))
+
+
+def _headers_of_blocks(spark: SparkSession, paths: list[str], options: dict) -> dict[tuple[str | None, ...], list[str]]:
+    """The files of each header that may go over several lines: a look at one file after the other."""
+    groups: dict[tuple[str | None, ...], list[str]] = {}
+    for file in map(_literal, sorted(spark.read.text(paths).inputFiles())):
+        if header := _one_header(spark, [file], options):
+            groups.setdefault(tuple(header), []).append(file)
+    return groups

@@ -452,10 +452,16 @@ def oracles() -> dict[str, str]:
         "scan_header_only": ORDER_TEXT,
         "scan_blank_rows": f"""SELECT CASE WHEN CAST(order_id AS BIGINT) % 6 <> 0 THEN order_id END AS order_id,
           CASE WHEN CAST(order_id AS BIGINT) % 6 <> 0 THEN status END AS status FROM ({ORDER_TEXT})""",
+        "scan_repeated_names": f"""SELECT order_id AS "id0", status, 'x' AS "_c2", reverse(order_id) AS "ID" FROM ({ORDER_TEXT})""",
+        "scan_many_headers": f"""SELECT order_id, CASE WHEN CAST(order_id AS BIGINT) % 3 = 0 THEN customer END AS customer,
+          CASE WHEN CAST(order_id AS BIGINT) % 3 = 2 THEN priority END AS priority, status FROM ({ORDER_TEXT})""",
         "sink_overwrite": f"SELECT * FROM ({ORDER_TEXT}) WHERE status <> 'F'",
         "publish_roundtrip": """SELECT side, n AS rows_before, n AS rows_after, CAST(0 AS BIGINT) AS rows_diff FROM (
           SELECT 'before' AS side, count_if(o_orderstatus <> 'F') AS n FROM orders
           UNION ALL SELECT 'after', count(*) FROM orders)""",
+        "publish_bytes": """SELECT side, CAST(4 AS BIGINT) AS n_files, CAST(4 AS BIGINT) AS n_same, n AS n_rows FROM (
+          SELECT 'before' AS side, count_if(o_orderstatus <> 'F') AS n FROM orders
+          UNION ALL SELECT 'after', count(*) FROM orders)""",
         "job_compare": f"{line_diff('B')} {found}",
         "job_benchmark": matrix(),
         "sink_diff_csv": f"{line_diff('A')} {found}",

@@ -130,12 +130,32 @@ def scan_blank_rows(spark, sf_dir):
         F.when(k % 6 == 0, "\t").otherwise(F.concat_ws("\t", "order_id", "status")).alias("value")
     )
     path = shared_path(spark, "scan_blank_rows")
-    header = spark.range(1).select(F.lit("order_id\tstatus").alias("value"))
-    lines = header.select(F.lit(0).alias("place"), "value").union(lines.select(F.lit(1).alias("place"), "value"))
-    lines.orderBy("place").coalesce(1).select("value").write.text(path)
+    lines = lines.withColumnRenamed("value", "order_id\tstatus")
+    # the header's tabs stay as they are
+    lines.write.mode("overwrite").options(header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return read_delimited(spark, path)
 
 
+def scan_repeated_names(spark, sf_dir):
+    """Two columns of one name, of which the last has it, and one without a name."""
+    lines = order_text(spark, sf_dir).select(F.concat_ws("\t", "order_id", "status", F.lit("x"), F.reverse("order_id")).alias("id\tstatus\t\tID"))
+    path = shared_path(spark, "scan_repeated")
+    # the header's tabs stay as they are
+    lines.write.mode("overwrite").options(header=True, sep="\x01", quote="").csv(path)
+    return read_delimited(spark, path)
+
+
+def scan_many_headers(spark, sf_dir):
+    """Files of three headers that share some columns, in other orders, read as one table; a row says what it had."""
+    rows = order_text(spark, sf_dir)
+    root = shared_path(spark, "scan_headers")
+    k = F.col("order_id").cast("bigint") % 3
+    kinds = [["order_id", "customer", "status"], ["status", "order_id"], ["priority", "status", "order_id"]]
+    for place, names in enumerate(kinds):
+        write_delimited(rows.where(k == place).repartition(8).select(names), f"{root}/{place}")
+    return read_delimited(spark, f"{root}/*", headers="by_name").select("order_id", "customer", "priority", "status")
+
+
 def sink_overwrite(spark, sf_dir):
     """What is written last is all that is there."""
     rows = order_text(spark, sf_dir)
@@ -160,6 +180,25 @@ def publish_roundtrip(spark, sf_dir):
     return sides[0].union(sides[1])
 
 
+def publish_bytes(spark, sf_dir):
+    """Of each side of a published dataset: files, those whose name, length and hash are the source's, and rows by its own pattern."""
+    root = shared_path(spark, "publish_bytes")
+    rows = order_text(spark, sf_dir).repartition(4, "order_id")
+    write_delimited(rows.where(F.col("status") != "F"), f"{root}/source/before")
+    write_delimited(rows, f"{root}/source/after", gzip=True)
+    publish_dataset(spark, f"{root}/source", f"{root}/target")
+
+    def files(place: str) -> DataFrame:
+        found = spark.read.format("binaryFile").load(f"{root}/{place}/*/part-*.tsv*")
+        parts = F.split("path", "/")
+        return found.select(F.element_at(parts, -2).alias("side"), F.element_at(parts, -1).alias("name"), "length", F.sha2("content", 256).alias("hash"))
+
+    both = files("source").withColumn("here", F.lit(1)).join(files("target").withColumn("there", F.lit(1)), ["side", "name", "length", "hash"], "full")
+    copied = both.groupBy("side").agg(F.count("*").alias("n_files"), F.count(F.col("here") + F.col("there")).alias("n_same"))
+    sides = [read_delimited(spark, f"{root}/target/{side}/part-*.tsv*").agg(F.count("*").alias("n_rows")).select(F.lit(side).alias("side"), "n_rows") for side in ("before", "after")]
+    return copied.join(sides[0].union(sides[1]), "side")
+
+
 def _stored_lines(spark, sf_dir) -> dict:
     """The two snapshots as files whose line order is the order of the rows, and the settings to compare them."""
     root = shared_path(spark, "lines")
@@ -469,8 +508,11 @@ QUERIES: dict[str, Query] = {
     "scan_tolerant": scan_tolerant,
     "scan_header_only": scan_header_only,
     "scan_blank_rows": scan_blank_rows,
+    "scan_repeated_names": scan_repeated_names,
+    "scan_many_headers": scan_many_headers,
     "sink_overwrite": sink_overwrite,
     "publish_roundtrip": publish_roundtrip,
+    "publish_bytes": publish_bytes,
     "job_compare": job_compare,
     "job_benchmark": job_benchmark,
     "sink_diff_csv": sink_diff_csv,

@@ -81,6 +81,38 @@ def test_differing_headers(spark, tmp_path):
         read_delimited(spark, str(tmp_path / "*.tsv")).collect()
 
 
+@pytest.mark.parametrize("headers", ["same", "by_name"])
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_repeated_and_blank_names(spark, tmp_path, headers, multi_line):
+    (tmp_path / "x.tsv").write_text('a\t\tA\t"a"\t_c1\n1\t2\t3\t4\t5\n\t\t\t\t6\n')
+    df = read_delimited(spark, str(tmp_path / "x.tsv"), headers=headers, multi_line=multi_line)
+    assert df.columns == ["a0", "_c1_", "A2", "a", "_c1"]  # the last one has the name
+    assert df.orderBy("_c1").collect() == [("1", "2", "3", "4", "5"), (None, None, None, None, "6")]
+
+
+def test_headers_that_repeat_a_name_line_up(spark, tmp_path):
+    (tmp_path / "1.tsv").write_text("k\tv\tv\n1\tx\ty\n")
+    (tmp_path / "2.tsv").write_text("v\tk\nz\t2\n")
+    df = read_delimited(spark, str(tmp_path), headers="by_name", row_order=True)
+    assert df.orderBy(ROW_ORDER).select("k", "v1", "v").collect() == [("1", "x", "y"), ("2", None, "z")]
+
+
+def test_headers_take_as_many_jobs_for_many_files_as_for_few(spark, tmp_path):
+    counts = []
+    for n in (100, 200):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"{i:03}.tsv").write_text(("\n  \n" if i % 2 else "") + ("a\tb\n1\t2\n" if i % 3 else "b\tc\n2\t3\n"))
+        (folder / "empty.tsv").write_text("")
+        spark.sparkContext.setJobGroup(f"headers-{n}", "")
+        df = read_delimited(spark, str(folder), headers="by_name")
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers-{n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert df.groupBy("a", "b", "c").count().orderBy("c").collect() == [("1", "2", None, n - -(-n // 3)), (None, "2", "3", -(-n // 3))]
+    assert counts[0] == counts[1] <= 6  # the listing of many paths is a job, too
+
+
 def test_count_and_single_columns_pass_the_header_check(spark, pair):
     df = read_delimited(spark, pair[0])
     assert df.count() == 2
@@ -261,6 +293,26 @@ def test_empty_files_and_bracketed_names(spark, tmp_path):
     assert rows_of(df.select("k", "v")) == [("1", "x"), ("2", "y")]
 
 
+@pytest.mark.parametrize("direct", [True, False])
+def test_publishing_keeps_names_and_bytes(spark, tmp_path, monkeypatch, direct):
+    folder = tmp_path / "src" / "after"
+    folder.mkdir(parents=True)
+    held = {"part-00000.tsv": b"k\tv\r\n1\t\xff\r\n", "part-00001.tsv.gz": gzip.compress(b"k\n"), "part-x=%41.tsv": b"", "part-2.tsv": b"no end"}
+    for name, content in held.items():
+        (folder / name).write_bytes(content)
+    (folder / "_SUCCESS").write_text("")
+    stale = tmp_path / "dst" / "after"
+    stale.mkdir(parents=True)
+    (stale / "part-9.tsv").write_text("old")
+    if not direct:
+        monkeypatch.setattr("keydrift.sinks.publish._DIRECT", {})
+    publish_dataset(spark, str(tmp_path / "src"), str(tmp_path / "dst"))
+    copied = {p.name: p.read_bytes() for p in stale.iterdir() if not p.name.startswith(".")}
+    assert copied == held
+    with pytest.raises(ValueError, match="nothing to publish"):
+        publish_dataset(spark, str(tmp_path / "nowhere"), str(tmp_path / "dst"))
+
+
 def test_publishing_keeps_every_line_in_order(spark, tmp_path):
     folder = tmp_path / "src" / "before"
     folder.mkdir(parents=True)
