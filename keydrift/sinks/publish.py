@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -59,27 +60,24 @@ def _qualified(spark: SparkSession, path: str) -> tuple:
     return system, system.makeQualified(it)
 
 
-def file_list(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of a file, or of the files of a folder."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
-
-
 def _copy(spark: SparkSession, source: str, target: str, folder: bool) -> bool:
     """Copy a file, or the files of a folder, in place of what was there; False if there is none."""
     try:
-        listed = file_list(spark, source)
-        n, total = listed.agg(F.count("*"), F.sum("length")).first()
+        listed = spark.read.format("binaryFile").load(source)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return False
-    if not n:
+    # the driver lists files to plan a scan; the scan itself leaves empty ones out
+    names = [(unquote(name),) for name in listed.inputFiles()]
+    if not names:
         return False
+    total = listed.agg(F.sum("length")).first()[0] or 0
     system, place = _qualified(spark, target)
     system.delete(place, True)
     into = place.toString()
     named = F.concat(F.lit(into), F.lit("/"), F.substring_index("path", "/", -1)) if folder else F.lit(into)
-    files = listed.select("path", named.alias("target"), "length")
+    files = spark.createDataFrame(names, "path string").select("path", named.alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +86,7 @@ def _copy(spark: SparkSession, source: str, target: str, folder: bool) -> bool:
 
     if _scheme(_qualified(spark, source)[1].toString()) in _DIRECT and _scheme(into) in _DIRECT:
         # a task for a file or two, as long as there are not too many
-        spread = files.repartition(min(n, 100_000))
+        spread = files.repartition(min(len(names), 100_000))
         copied = spread.mapInArrow(run, "copied long").agg(F.sum("copied")).first()[0]
     else:
         copied = _copy_from_driver(spark, files)
