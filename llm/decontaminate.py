@@ -257,3 +257,18 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, block_byte
                 yield _judge(part, blocks)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without an occurrence of a window, with the columns that they have; each row is judged by its text."""
+    blocks = blocks_of(benchmark, block_bytes, length)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                narrow = pa.record_batch([pa.nulls(part.num_rows, pa.int64()), part.column(place)], ["doc_id", "text"])
+                hit = _judge(narrow, blocks).column(2).to_numpy()
+                yield part.filter(pa.array(hit == 0))
+
+    return docs.mapInArrow(run, docs.schema)

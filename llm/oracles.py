@@ -55,6 +55,11 @@ def _spans(place: int, kind: str, least: int) -> str:
       place := {place}, kind := '{kind}', n := {f}.m[i], v := {f}.v[i])), lambda s: s.v >= {least}), []) AS {kind}_s"""
 
 
+_HEADERS = r"(?:[\x20\t\r\n]*[A-Za-z]+-[A-Za-z]+:[^\r\n]*){0,4}"
+_KEY = (
+    rf"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(?:{_HEADERS}[A-Za-z0-9+/=\x20\t\r\n\x5C]*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"
+    rf"|{_HEADERS}(?:[\r\n]{{1,2}}[A-Za-z0-9+/=]{{20,}}){{1,400}}(?:[\r\n]{{1,2}}[A-Za-z0-9+/=]{{1,19}})?|)"
+)
 _ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -65,7 +70,7 @@ _SPANS = (
     ("hex", r"[0-9a-f]{16,}", 0, 0),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    ("private", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 0),
+    ("private", _KEY, 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
 )
 _JOINED = "array_to_string(list_transform(list_sort({}), lambda s: s.kind || ':' || s.b || ':' || (s.b + s.n)), ',')"

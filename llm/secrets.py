@@ -12,7 +12,8 @@ matches of one rule in one text are found in one pass.
 
 Rows. Null texts are empty and have no secrets. A null doc_id is no key of the index; such rows are searched
 for every rule. Rows that share a doc_id share candidates, and each is searched itself. An empty table gives
-an empty result. Input columns named like the result's are replaced.
+an empty result. Without rules nothing is found; without a rule that has a trigram there is no index. Input columns named
+like the result's are replaced.
 """
 
 from __future__ import annotations
@@ -47,10 +48,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+_KEY_LINE = r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"
+_KEY_HEADERS = r"(?:[\x20\t\r\n]*[A-Za-z]+-[A-Za-z]+:[^\r\n]*){0,4}"
+#: A key from its first line to its last one; without that, to the end of its lines of base64 (400 at most, of which no key has
+#: half), or the first line alone. Line breaks may be spelled \\n.
+PRIVATE_KEY = (
+    _KEY_LINE
+    + "(?:"
+    + (_KEY_HEADERS + r"[A-Za-z0-9+/=\x20\t\r\n\x5C]*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----|")
+    + (_KEY_HEADERS + r"(?:[\r\n]{1,2}[A-Za-z0-9+/=]{20,}){1,400}(?:[\r\n]{1,2}[A-Za-z0-9+/=]{1,19})?|")
+    + ")"
+)
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("private", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("private", PRIVATE_KEY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
@@ -120,6 +132,8 @@ def _item(op: str, arg) -> tuple[set[str] | None, set, bool]:
 def _candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(doc_id, kinds) of the documents that satisfy the query of some rule."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+    if not queries:
+        return docs.select("doc_id", F.array(F.lit("")).alias("kinds")).where(F.lit(False))
     grams = sorted({g for q in queries.values() for clause in q for alternative in clause for g in alternative})
     blocks = F.greatest(F.lit(1), F.ceil(F.lit(docs.count() / BLOCK_ROWS)))
     held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams)))
@@ -202,7 +216,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         wanted = wanted & (text.rlike(rule.pattern))
         spans = F.when(wanted, find(text, rule)).otherwise(F.expr(NO_SPANS))
         lists.append(_marked(spans, place, rule.kind))
-    return replace(rows.withColumn("_secrets", F.array_sort(F.concat(*lists))), secrets=F.col("_secrets")).drop("_id", "_kinds", "_secrets")
+    none = F.expr("array_repeat(struct(0 AS start, 0 AS place, 0 AS end, '' AS kind), 0)")
+    return replace(rows.withColumn("_secrets", F.array_sort(F.concat(none, *lists))), secrets=F.col("_secrets")).drop("_id", "_kinds", "_secrets")
 
 
 def spelled(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,21 @@ def replace(frame: DataFrame, **columns: Column) -> DataFrame:
     taken = {name.lower() for name in columns}
     kept = [F.col(f"`{name}`") for name in frame.columns if name.lower() not in taken]
     return frame.select(*kept, *(column.alias(name) for name, column in columns.items()))
+
+
+def numbered(frame: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, which tells rows with one id, or none, apart.
+
+    They are written to the shared folder, so that a row has the same number whenever it is read.
+    """
+    place = f"{shared_folder(frame.sparkSession)}/numbered-{uuid.uuid4()}"
+    frame.withColumn(name, F.monotonically_increasing_id()).write.parquet(place)
+    return frame.sparkSession.read.parquet(place)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
