@@ -1,8 +1,8 @@
 """A corpus pipeline: each stage applies one operator to what the stage before has kept.
 
 ``run`` writes each stage's rows as Parquet to the folder that executors share and reads them again. Stages add no columns
-(but the last, which is the mix itself) and drop a document only by their decision. Rows with a null doc_id pass
-the stages that decide by doc_id.
+(but the last, which is the mix itself) and drop a document only by their decision. They decide row by row, whether a doc_id
+is null, shared or unique.
 """
 
 from __future__ import annotations
@@ -13,12 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontaminate, mixing, near_dedup, quality_rules, secrets
-from llm.shared import shared_folder
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among (doc_id) of gone."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+from llm.shared import free_name, numbered, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +23,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return _without(docs, near_dedup.find(docs).where("not kept"))
+    """Of each group of near copies the row with the smallest doc_id stays (of several such rows, or of none with an id, the first)."""
+    row = free_name(docs, "row_number")
+    rows = numbered(docs, row)
+    found = near_dedup.find(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
+    stays = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(first)
+    return rows.join(stays.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an occurrence of a benchmark window go, whole: what is left around a leak gives it away, too."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("n_hit > 0"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
