@@ -58,7 +58,7 @@ def _spans(place: int, kind: str, least: int) -> str:
 _HEADERS = r"(?:[\x20\t\r\n]*[A-Za-z]+-[A-Za-z]+:[^\r\n]*){0,4}"
 _KEY = (
     rf"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(?:{_HEADERS}[A-Za-z0-9+/=\x20\t\r\n\x5C]*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"
-    rf"|{_HEADERS}(?:[\r\n]{{1,2}}[A-Za-z0-9+/=]{{20,}}){{1,400}}(?:[\r\n]{{1,2}}[A-Za-z0-9+/=]{{1,19}})?|)"
+    rf"|{_HEADERS}(?:[\r\n]{{1,2}}[A-Za-z0-9+/=]{{20,}})+(?:[\r\n]{{1,2}}[A-Za-z0-9+/=]{{1,19}})?|)"
 )
 _ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
