@@ -8,18 +8,21 @@ label rests on the whole page. It is trained here on ``MAX_PAGES`` sampled pages
 it, and layouts composed of their blocks: the article and menus, notices, adverts, forms, comments and so on under varied
 markup, with labels known by construction. Blocks with a probability of ``THRESHOLD`` or more are the main text.
 
-Scale. One map over pages; the sample (bounded, its texts cut to ``SAMPLE_CHARS`` for training only) is all that comes to the
-driver. Pages are labelled in batches of bounded total length.
+Scale. One map over pages. The keys of the sampled pages come to the driver; the pages themselves, whole, to the one task that fits
+the model. Pages are labelled in batches of bounded total length, and a page is read in one pass.
 
 Rows. Null and empty html give an empty text. Broken markup is read as far as it goes; an unclosed comment or script lasts to the
-end. Repeated rows are labelled alike. With an empty table, or one without words, layouts are composed of stand-in words.
+end. Repeated rows are labelled alike. Pages without words are trained on with stand-in words; an empty table gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,18 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 150
-SAMPLE_CHARS = 20_000
 THRESHOLD = 0.5
 PATH, TEXT, DENSE, HIDDEN = 96, 48, 6, 20
 SIZE = PATH + TEXT + DENSE
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|select)\b", re.I)
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_ATTRS = re.compile(r"""((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>""")
 _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr del label".split())
@@ -48,16 +46,79 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
 
 
+_MAIN = {"article", "main"}
+_NOT_MAIN = {
+    *("nav", "header", "footer", "aside", "form", "button", "dialog", "title", "head", "menu"),
+    *("." + w for w in "nav menu sidebar footer ad ads advert advertisement banner cookie consent notice comment comments comm newsletter share social related promo breadcrumb breadcrumbs".split()),
+}
+
+
+@dataclass(frozen=True)
+class Path:
+    """What the open elements above a block say; blocks below one element share it."""
+
+    places: frozenset[int] = frozenset()  # of the hashed tags and words, PATH at most
+    main: bool = False
+    apart: bool = False
+
+    def below(self, words: list[str]) -> Path:
+        places = self.places.union(_place(w, PATH) for w in words)
+        return Path(places, self.main or not _MAIN.isdisjoint(words), self.apart or not _NOT_MAIN.isdisjoint(words))
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path
     links: float  # share of the text in links
 
 
+@dataclass
+class Mark:
+    start: int
+    end: int
+    tag: str = ""  # of a comment and the like none
+    closes: bool = False
+    attrs: str = ""
+    raw: bool = False
+
+
+def marks(page: str) -> Iterator[Mark]:
+    """Tags, comments and elements without text, in one pass: each character is looked at a bounded number of times.
+
+    Quotes in a tag may hold ``>``. After a tag whose quotes do not close, quotes are not minded any more.
+    """
+    at, gt, minded, size = 0, -1, True, len(page)
+    while (at := page.find("<", at)) >= 0:
+        if gt < at:
+            gt = page.find(">", at)
+            if gt < 0:  # nothing but a comment can begin here, which lasts to the end
+                if (at := page.find("<!--", at)) >= 0:
+                    yield Mark(at, size)
+                return
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            mark = Mark(at, size if close < 0 else close + 3)
+        elif found := _RAW.match(page, at):
+            close = re.compile(rf"</{found[1]}\s*>", re.I).search(page, gt + 1)
+            mark = Mark(at, close.end() if close else size, raw=True)
+        elif found := _TAG.match(page, at):
+            attrs = _ATTRS.match(page, found.end()) if minded else None
+            minded = attrs is not None
+            mark = Mark(at, attrs.end() if attrs else gt + 1, found[2].lower(), bool(found[1]), attrs[1] if attrs else page[found.end() : gt])
+        elif page[at + 1] in "!?/":
+            mark = Mark(at, gt + 1)
+        else:
+            at += 1
+            continue
+        yield mark
+        at = mark.end
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, total, in_link, at = 0, 0, 0, 0
 
@@ -65,7 +126,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, total
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(t for _, words in stack for t in words), linked / max(total, 1)))
+            out.append(Block(text, stack[-1][1] if stack else Path(), linked / max(total, 1)))
         parts.clear()
         linked = total = 0
 
@@ -76,29 +137,34 @@ def blocks(page: str) -> list[Block]:
             total += len(piece)
             linked += len(piece) * (in_link > 0)
 
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
+    def leave(tag: str) -> None:
+        while opened[tag]:
+            last, _ = stack.pop()
+            opened[last] -= 1
+            if last == tag:
+                break
+
+    for m in marks(page):
+        add(page[at : m.start])
+        at = m.end
+        if m.raw:
             flush()
-        if not m["tag"]:
+        if not m.tag:
             continue
-        tag = m["tag"].lower()
-        if tag == "a":
-            in_link = max(0, in_link + (-1 if m["close"] else 1)) if m["close"] else 1
-        if tag in _INLINE:
+        if m.tag == "a":
+            in_link = 0 if m.closes else 1
+        if m.tag in _INLINE:
             continue
         flush()
         in_link = 0
-        if m["close"]:
-            names = [t for t, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
-        elif tag not in _VOID:
-            if tag in _OPEN_ENDED and stack and stack[-1][0] == tag:
-                stack.pop()
-            named = (w for a in _ATTR.findall(m["attrs"]) for w in _PART.findall("".join(a).lower()))
-            stack.append((tag, (tag, *("." + w for w in named))))
+        if m.closes:
+            leave(m.tag)
+        elif m.tag not in _VOID:
+            if m.tag in _OPEN_ENDED and stack and stack[-1][0] == m.tag:
+                leave(m.tag)
+            named = ["." + w for a in _ATTR.findall(m.attrs) for w in _PART.findall("".join(a).lower())]
+            stack.append((m.tag, (stack[-1][1] if stack else Path()).below([m.tag, *named])))
+            opened[m.tag] += 1
     add(page[at:])
     flush()
     return out
@@ -111,8 +177,7 @@ def _place(word: str, size: int) -> int:
 def vectors(leaves: list[Block]) -> np.ndarray:
     x = np.zeros((len(leaves), SIZE), np.float32)
     for i, b in enumerate(leaves):
-        for t in b.path:
-            x[i, _place(t, PATH)] = 1
+        x[i, list(b.path.places)] = 1
         own = b.text.lower().split()
         places = [zlib.crc32(w.encode()) % TEXT for w in own]
         x[i, PATH : PATH + TEXT] = np.bincount(places, minlength=TEXT) / len(own)
@@ -184,6 +249,13 @@ class Labeller:
         self.v = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32)
         self.c = np.zeros(1, np.float32)
 
+    def weights(self) -> list[np.ndarray]:
+        return [self.ahead.w, self.ahead.b, self.back.w, self.back.b, self.v, self.c]
+
+    def load(self, weights: list[np.ndarray]) -> Labeller:
+        self.ahead.w, self.ahead.b, self.back.w, self.back.b, self.v, self.c = weights
+        return self
+
     @staticmethod
     def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         t = max(len(p) for p in pages)
@@ -212,7 +284,7 @@ class Labeller:
 
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 24, batch: int = 24, rate: float = 0.01, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        params = [self.ahead.w, self.ahead.b, self.back.w, self.back.b, self.v, self.c]
+        params = self.weights()
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
             by_length = sorted(rng.permutation(len(pages)), key=lambda k: len(pages[k]) // 8)
@@ -239,18 +311,11 @@ class Labeller:
 
 # ---- training pages
 
-_MAIN = {"article", "main"}
-_NOT_MAIN = {
-    *("nav", "header", "footer", "aside", "form", "button", "dialog", "title", "head", "menu"),
-    *("." + w for w in "nav menu sidebar footer ad ads advert advertisement banner cookie consent notice comment comments comm newsletter share social related promo breadcrumb breadcrumbs".split()),
-}
-
-
 def marked(leaves: list[Block]) -> np.ndarray | None:
     """Labels by an article or main element; None if the page has none."""
-    if not any(_MAIN & set(b.path) for b in leaves):
+    if not any(b.path.main for b in leaves):
         return None
-    return np.array([bool(_MAIN & set(b.path)) and not _NOT_MAIN & set(b.path) for b in leaves], np.float32)
+    return np.array([b.path.main and not b.path.apart for b in leaves], np.float32)
 
 
 #: How composed layouts mark their parts.
@@ -323,9 +388,8 @@ def compose(rng: np.random.Generator, prose: list[str]) -> tuple[list[Block], np
     return [Block(b.text.replace(sign, ""), b.path, b.links) for b in leaves], labels
 
 
-def train(pages: DataFrame, most: int = MAX_PAGES, seed: int = 5) -> Labeller:
-    rows = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(most)
-    sample = [r[0] for r in rows.select(F.substring("html", 1, SAMPLE_CHARS)).collect()]
+def fitted(sample: list[str], most: int = MAX_PAGES, seed: int = 5) -> Labeller:
+    """The labeller fitted on whole pages and on layouts composed of their blocks."""
     rng = np.random.default_rng(seed)
     x, y, prose = [], [], []
     for page in sample:
@@ -346,6 +410,24 @@ def train(pages: DataFrame, most: int = MAX_PAGES, seed: int = 5) -> Labeller:
     return model
 
 
+def train(pages: DataFrame, most: int = MAX_PAGES, seed: int = 5) -> Labeller:
+    """Fits in one task, on ``most`` pages by a hash of page_id and url; keys come to the driver, and the weights."""
+    rows = pages.where("html is not null").select(F.xxhash64("page_id", "url").alias("key"), "html")
+    # few more than needed are looked at, whatever the number of pages
+    share = min(1.0, 20 * most / max(rows.count(), 1))
+    likely = rows.where(F.col("key") <= min(2**63 - 1, -(2**63) + int(share * 2**64)))
+    keys = [r[0] for r in likely.select("key").distinct().orderBy("key").limit(most).collect()]
+    # pages that share a key are one
+    sample = rows.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html")) if keys else None
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(page for batch in batches for page in batch.column(0).to_pylist())
+        yield pa.record_batch([pa.array([pickle.dumps(fitted(held, most, seed).weights())], pa.binary())], ["weights"])
+
+    found = sample.select("html").repartition(1).mapInArrow(fit, "weights binary").first() if keys else None
+    return Labeller().load(pickle.loads(found.weights)) if found else Labeller()
+
+
 def extract(pages: DataFrame, model: Labeller | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: page_id, url, text and n_chars."""
     model = model or train(pages)

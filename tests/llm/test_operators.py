@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -231,6 +232,43 @@ def test_html(spark):
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3)) and len(got) == 5
 
 
+@pytest.mark.parametrize("part", ["<script ", "<a ", "<div>", "<p it's ", '<a "', "<", "<!-", "</div>", "<script></script ", "<b x='\">", "&"])
+def test_large_broken_pages_are_read_in_one_pass(part):
+    page = "<p>first</p>" + part * (1_000_000 // len(part))
+    begun = time.process_time()
+    leaves = html_blocks.blocks(page)
+    assert time.process_time() - begun < 20
+    assert leaves[0].text == "first"
+
+
+def test_html_blocks():
+    page = "<div class='x\">y' title=\"a > b\">one<p it's>two</p><P>three <A HREF=x>four</A></P><style>p > a {}</style><!-- <p>no</p> -->five < six <3</div>seven<br>eight"
+    got = [b.text for b in html_blocks.blocks(page)]
+    assert got == ["one", "two", "three four", "five < six <3", "seven", "eight"]
+
+
+def test_held_out_layouts():
+    prose = [" ".join(f"word{(7 * i + j) % 500}" for j in range(60)) for i in range(60)]
+    pages = ["<html><body><nav>Home</nav><article>" + "".join(f"<p>{x}</p>" for x in prose[i : i + 4]) + "</article><footer>Imprint</footer></body></html>" for i in range(40)]
+    model = html_blocks.fitted(pages, most=60)
+    rng = np.random.default_rng(12345)
+    right = total = 0
+    for _ in range(120):
+        leaves, labels = html_blocks.compose(rng, prose[40:])
+        if leaves:
+            p = model.probabilities([html_blocks.vectors(leaves)])[0]
+            right += int(((p >= html_blocks.THRESHOLD) == (labels > 0)).sum())
+            total += len(labels)
+    assert right >= 0.9 * total
+
+
+def test_html_of_an_empty_table(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    assert html_blocks.extract(spark.createDataFrame([], schema)).collect() == []
+    got = html_blocks.extract(spark.createDataFrame([(None, None, None, 1, "x")], schema)).collect()
+    assert [tuple(r) for r in got] == [(None, None, "", 0)]
+
+
 def test_urls(spark):
     urls = ["http://A.net/x", "http://b.net", "https://en.example.net/en/1", "ftp://example.com/de/?q", "http://x.org/fr/1#a", "http://notnet/", "no url", None, "http://spam.com/a", "http://fan.com/a"]
     html = {8: '<a href="http://a.net/1">', 9: "<a href='http://spam.com/'>"}
