@@ -83,20 +83,27 @@ _POWERS = 3 ** np.arange(LABELLERS)
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
     """Rates[class, labeller, vote], the share of good documents and the posterior of good for each pattern.
 
-    Starts from: bad if any labeller says so.
+    Starts from: bad if any labeller says so. What anchors the classes is that no labeller is worse than chance: one that says
+    good of bad documents more often than of good ones, or bad of good ones, tells nothing in that round. Documents of which no
+    labeller says anything take no part, and have the share as their posterior.
     """
     said = np.stack([patterns == v for v in (BAD, GOOD, ABSTAIN)], axis=2).astype(float)
+    silent = (patterns == ABSTAIN).all(axis=1)
+    counts = np.where(silent, 0.0, counts)
     any_bad = (patterns == BAD).any(axis=1)
     good = np.where(any_bad, 0.1, 0.95)
-    total = counts.sum()
+    total = max(counts.sum(), 1e-9)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
         rates = np.einsum("cp,plv->clv", weight, said) + 0.01
+        pooled = rates.sum(axis=0)
         rates /= rates.sum(axis=2, keepdims=True)
+        worse = (rates[1, :, 1] < rates[0, :, 1]) | (rates[0, :, 0] < rates[1, :, 0])
+        rates[:, worse] = (pooled / pooled.sum(axis=1, keepdims=True))[worse]
         share = np.clip(weight[1].sum() / total, 1e-6, 1 - 1e-6)
         log = np.einsum("plv,clv->pc", said, np.log(rates)) + np.log([1 - share, share])
         good = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -40, 40)))
-    return rates, float(share), good
+    return rates, float(share), np.where(silent, share, good)
 
 
 def _patterns(code: np.ndarray) -> np.ndarray:

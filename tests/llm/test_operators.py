@@ -125,6 +125,45 @@ def test_classifiers_on_held_out_rows(spark, empty):
     assert weak_labels.judge(empty, *weak_labels.train(empty)).count() == 0
 
 
+G, B, A = weak_labels.GOOD, weak_labels.BAD, weak_labels.ABSTAIN
+
+
+@pytest.mark.parametrize(
+    "table",
+    [
+        {(G,) * 7: 700, (G,) * 5 + (A,) * 2: 300, (B,) + (G,) * 6: 20},
+        {(G,) * 7: 50, (A,) * 7: 1000},
+        {(G,) * 7: 10, (B,) * 7: 1000, (A,) * 7: 5},
+    ],
+)
+def test_good_votes_never_speak_for_bad(table):
+    patterns, counts = np.array(list(table)), np.array(list(table.values()), float)
+    rates, share, good = weak_labels.expectation_maximisation(patterns, counts)
+    assert good[0] >= 0.5  # all say good
+    assert (rates[1, :, 1] >= rates[0, :, 1] - 1e-9).all() and (rates[0, :, 0] >= rates[1, :, 0] - 1e-9).all()
+    for pattern, p in zip(patterns, good, strict=True):
+        if (pattern == A).all():
+            assert p == share
+        if (pattern == B).all():
+            assert p < 0.5
+
+
+def test_expectation_maximisation_finds_accuracies():
+    """Against the truth of drawn votes, and against the same estimate over documents one by one."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(20000) < 0.7
+    accuracy = np.array([0.9, 0.8, 0.85, 0.7, 0.95, 0.75, 0.6])
+    right = rng.random((20000, 7)) < accuracy
+    votes = np.where(rng.random((20000, 7)) < 0.2, A, np.where(right == truth[:, None], G, B))
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    rates, share, good = weak_labels.expectation_maximisation(patterns, counts.astype(float))
+    assert abs(share - 0.7) < 0.03
+    assert np.abs(rates[1, :, 1] / (rates[1, :, 0] + rates[1, :, 1]) - accuracy).max() < 0.05
+    assert np.mean((good[at.ravel()] >= 0.5) == truth) > 0.93
+    _, share_each, each = weak_labels.expectation_maximisation(votes, np.ones(20000))
+    assert abs(share - share_each) < 1e-6 and np.abs(each - good[at.ravel()]).max() < 1e-6
+
+
 def test_mixing(docs, empty):
     rows = mixing.plan_mix(docs).collect()
     assert len(rows) == len(documents())
