@@ -9,8 +9,8 @@ PageRank spreads trust along links and distrust against them (who links to block
 is blocked if its distrust exceeds both its trust and ``threshold`` times the mean share 1 / hosts.
 Pages that no rule decides get their host's verdict.
 
-Scale. Pages are joined once, by host, with one row per host; links are counted per pair of hosts before
-they meet, so a host with a third of all pages costs one row per task and neighbour. Ranks are small tables
+Scale. Pages are joined by host with one row per host, those of hot hosts (fewer than ``HOT_HOSTS``) without a shuffle; links
+are counted per pair of hosts before they meet, so there a host with a third of all pages costs one row per task and neighbour. Ranks are small tables
 of hosts, cut by checkpoints; each round is an equi-join and an aggregation, and the only number
 that comes to the driver is how far the ranks moved. Rounds go on until no host's rank can still move by more than
 a small part of what it is compared with, ``threshold`` / hosts; their number grows with the logarithm of the hosts.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from llm.shared import durable
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: A host with more than this part of all pages is hot.
+HOT_HOSTS = 1000
 LINK = r"""(?i)\shref\s*=\s*["']?[a-z][a-z0-9+.-]*(://[^\s"'<>]*)"""
 
 
@@ -123,10 +125,15 @@ def judge(
     url = F.col("url")
     narrow = durable(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")))
     hosts = narrow.groupBy("host").agg(F.count("*").alias("n_pages"))
-    by_host = hosts.join(rules_by_host(hosts, table), "host", "left")
+    by_host = durable(hosts.join(rules_by_host(hosts, table), "host", "left"))
+    pages_in_all = by_host.agg(F.sum("n_pages")).first()[0] or 0
+    # fewer than HOT_HOSTS hosts have so many pages: those are broadcast, so that their pages stay where they are
+    hot = by_host.where(F.col("n_pages") > pages_in_all / HOT_HOSTS)
+    of_hot = narrow.join(F.broadcast(hot), "host")
+    others = narrow.join(F.broadcast(hot.select("host")), "host", "left_anti").join(by_host, "host")
     fitting = F.filter("rules", lambda r: F.col("path").startswith(r.rule_path))
     first = F.try_element_at(fitting, F.lit(1))
-    judged = narrow.join(by_host, "host").select(
+    judged = of_hot.unionByName(others).select(
         "page_id", "host", "path", first.rule.alias("rule"), first.rule_verdict.alias("rule_verdict")
     )
 
