@@ -5,13 +5,19 @@ Template. A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles
 every text can be read back (``unescape``).
 
 Windows. Turns are counted in tokens (words and ``OVERHEAD`` for the markers). The prefix sum of a conversation
-cuts it at multiples of ``step``: a turn belongs to the window in which it starts, so each turn is new in
-exactly one window, whole, and a window exceeds its step by its last turn at most. Each window starts with
-the conversation's first system turn (unless new there) and repeats the turns that start within ``history`` tokens
-before it. The loss mask has the texts of new assistant turns only: repeated ones are masked.
+cuts it into cells of ``step`` tokens: a turn belongs to the cell in which it starts, whole. The last turn of a cell may reach
+beyond it; if the cell's turns are then more than ``step`` tokens, that turn has a window of its own. So each turn is new in
+exactly one window, whole, and the new turns of a window are ``step`` tokens at most, or a single turn. Each window starts with
+the conversation's first system turn (unless new there) and repeats the turns before it that fit in ``history`` tokens and in what is
+left of the budget. A quarter of the budget is the system turn's: a longer one is repeated up to there only. A window thus
+keeps ``budget``, unless its one new turn alone is larger; such a window has no history. A system turn that would
+make a window too large which fits without it is left out there. The loss mask has the texts of new assistant turns only:
+repeated ones are masked.
 
 Scale. Prefix sums come in two steps, blocks of ``BLOCK`` turn numbers and turns within a block, so one
-conversation with a third of all rows is spread over its blocks. Windows group at most ``step`` tokens and one turn.
+conversation with a third of all rows is spread over its blocks. Cells group at most ``step`` tokens and one turn, and get the
+end of the cell before by its number. The system turn is joined by conversation and ``SPREAD`` cells, so that the windows of one
+conversation do not meet in a task.
 
 Rows. Null texts and roles are empty. Rows are ordered by turn, then role and text; repeated rows
 are turns of their own. Null conv_ids make one conversation, null turns come first. An empty table gives an empty result. Other
@@ -23,11 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.shared import durable, n_words
+from llm.shared import WORD, durable, n_words
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 OVERHEAD = 4
 BLOCK = 128
+SPREAD = 64
 
 
 def escape(text: Column) -> Column:
@@ -40,7 +47,7 @@ def unescape(text: Column) -> Column:
 
 
 def _spans(conversations: DataFrame, step: int) -> DataFrame:
-    """Turns with ``start`` and ``stop`` (tokens before and after) and the number of the window they are new in."""
+    """Turns with ``start`` and ``stop`` (tokens before and after) and the number of the cell in which they start."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     turns = conversations.select(
         "conv_id", "turn", role.alias("role"), text.alias("text"), (n_words(text) + OVERHEAD).alias("tokens"),
@@ -54,39 +61,60 @@ def _spans(conversations: DataFrame, step: int) -> DataFrame:
     rows = rows.join(blocks, F.col("t.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("t.block") == F.col("b.block")))
     stop = F.col("earlier") + F.col("sum")
     rows = rows.select("t.conv_id", "turn", "role", "text", (stop - F.col("tokens")).alias("start"), stop.alias("stop"))
-    return rows.withColumn("window", F.floor(F.col("start") / step))
+    return rows.withColumn("cell", F.floor(F.col("start") / step))
+
+
+def _systems(cells: DataFrame, allowance: int) -> DataFrame:
+    """The first system turn of each conversation, cut to the allowance, once for every ``SPREAD`` cells."""
+    first = F.get(F.filter("turns", lambda t: t.role == "system"), F.lit(0))
+    space = WORD.replace("[^", "[")[:-1]
+    words = rf"^{space}*+(?:{WORD}+{space}*+){{0,{allowance - OVERHEAD}}}"
+    found = cells.select("conv_id", "cell", first.alias("system")).select(
+        "conv_id", "cell", F.when(F.col("system").isNotNull(), F.struct(
+            "system.start", "system.stop", "system.role", F.regexp_extract("system.text", words, 0).alias("text")
+        )).alias("system")
+    )
+    found = found.groupBy(F.col("conv_id").alias("s_conv")).agg(F.min("system").alias("system"), F.max("cell").alias("cell"))
+    places = F.sequence(F.lit(0).cast("long"), F.floor(F.col("cell") / SPREAD))
+    return found.where(F.col("system").isNotNull()).select("s_conv", "system", F.explode(places).alias("s_cells"))
 
 
 def windows(conversations: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
     """One row per training window: conv_id, window, formatted, n_repeated, loss.
 
-    ``n_repeated`` turns at the front are repeated; ``loss`` is array<struct<start, length>> of code points
-    in ``formatted``. New turns of a window start within budget - history tokens.
+    ``window`` rises within a conversation, with gaps. ``n_repeated`` turns at the front are repeated; ``loss`` is
+    array<struct<start, length>> of code points in ``formatted``.
     """
-    step = budget - history
-    turns = _spans(conversations, step)
+    allowance = budget // 4
+    step = budget - history - allowance
+    if allowance < OVERHEAD or history < 0 or step < 1:
+        raise ValueError(f"a budget of {budget} tokens leaves no room beside {history} of history and {allowance} for the system turn")
     turn = F.struct("start", "stop", "role", "text")
-    own = turns.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("new"), F.max("stop").alias("stop"))
-    own = durable(own)
-    late = F.filter("new", lambda t: t.start >= F.col("stop") - history)
-    following = F.floor(F.col("stop") / step)
-    repeated = own.where(following > F.col("window")).select(
-        F.col("conv_id").alias("h_conv"), following.alias("h_window"), late.alias("history")
-    )
-    is_system = F.exists("new", lambda t: t.role == "system")
-    first_system = F.element_at(F.filter("new", lambda t: t.role == "system"), 1)
-    system = (
-        own.where(is_system)
-        .groupBy(F.col("conv_id").alias("s_conv"))
-        .agg(F.min(F.struct(first_system.start.alias("start"), first_system.alias("turn"))).turn.alias("system"))
+    cells = durable(_spans(conversations, step).groupBy("conv_id", "cell").agg(F.sort_array(F.collect_list(turn)).alias("turns")))
+    near_end = lambda t: (t.start >= (F.col("cell") + 1) * step - history) & (t.stop - t.start <= history)
+    tails = cells.select(F.col("conv_id").alias("t_conv"), (F.col("cell") + 1).alias("t_cell"), F.filter("turns", near_end).alias("tail"))
+    systems = _systems(cells, allowance)
+    rows = cells.join(
+        tails.where(F.size("tail") > 0), F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("cell") == F.col("t_cell")), "left"
+    ).join(systems, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.floor(F.col("cell") / SPREAD) == F.col("s_cells")), "left")
+
+    none = F.filter("turns", lambda t: F.lit(False))
+    tail = F.coalesce("tail", none)
+    first, last = F.element_at("turns", 1), F.element_at("turns", -1)
+    within = F.slice("turns", F.lit(1), F.size("turns") - 1)
+    window = lambda rest, new, past: F.struct((2 * F.col("cell") + rest).alias("window"), new.alias("new"), past.alias("past"))
+    alone = (F.size("turns") > 1) & (last.stop - first.start > step)
+    pieces = F.when(alone, F.array(window(0, within, tail), window(1, F.array(last), F.concat(tail, within)))).otherwise(
+        F.array(window(0, F.col("turns"), tail))
     )
-    rows = own.join(
-        repeated, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("window") == F.col("h_window")), "left"
-    ).join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left")
-    none = F.filter("new", lambda t: F.lit(False))
-    past = F.coalesce("history", none)
-    first_start = F.element_at("new", 1).start
-    keep_system = F.col("system").isNotNull() & (F.col("system.start") < first_start)
+    rows = rows.select("conv_id", "system", F.explode(pieces).alias("w")).select("conv_id", "system", "w.*")
+
+    begin = F.element_at("new", 1).start
+    size = F.element_at("new", -1).stop - begin
+    system_size = F.least(F.col("system.stop") - F.col("system.start"), F.lit(allowance))
+    keep_system = F.col("system").isNotNull() & (F.col("system.start") < begin) & ((size + system_size <= budget) | (size > budget))
+    left = budget - size - F.when(keep_system, system_size).otherwise(0)
+    past = F.filter("past", lambda t: t.start >= begin - F.least(left, F.lit(history)))
     past = F.when(keep_system, F.concat(F.array("system"), F.filter(past, lambda t: t.start != F.col("system.start")))).otherwise(past)
     rows = rows.select("conv_id", "window", "new", past.alias("past"))
 

@@ -262,6 +262,58 @@ def test_chat_round_trip(spark):
             assert len(own) > 2 and all(r.turns[0].role == "system" for r in own) and any(r.n_repeated > 1 for r in own)
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """Against the rules turn by turn: sizes, the system turn, and as much history as fits."""
+    budget, history, allowance = 200, 40, 50
+    rng = random.Random(8)
+    size = {}
+    rows = []
+    for conv, system in ((1, 10), (2, 400), (None, 0), (4, 46)):
+        for t in range(160 if conv == 1 else 60):
+            words = rng.choice([1, 3, 20, 36, 60, 106, 107, 145, 150, 195, 196, 197, 500]) if rng.random() < 0.3 else rng.randint(0, 12)
+            role = "system" if t == 0 and system else ("user", "assistant")[t % 2]
+            words = system if role == "system" else words
+            rows.append((conv, t, role, " ".join([f"{conv}.{t}"] * words), "x", 1.0))
+            size[conv, t] = words + chat.OVERHEAD
+    schema = "conv_id long, turn long, role string, text string, window string, loss double"
+    table = spark.createDataFrame(rows, schema).repartition(5)
+    out = chat.windows(table, budget, history)
+    read = out.select("conv_id", "window", "n_repeated", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    tokens = lambda t: len(t.text.split()) + chat.OVERHEAD
+    for conv in (1, 2, None, 4):
+        own = sorted((r for r in read if r.conv_id == conv), key=lambda r: r.window)
+        texts = [(r, x) for c, _, r, x, *_ in rows if c == conv]
+        assert [(t.role, t.text) for r in own for t in r.turns[r.n_repeated :]] == texts
+        at = 0
+        for r in own:
+            past, new = r.turns[: r.n_repeated], r.turns[r.n_repeated :]
+            n_new = sum(map(tokens, new))
+            assert sum(map(tokens, r.turns)) <= budget or len(new) == 1 and n_new > budget
+            assert n_new <= budget - history - allowance or len(new) == 1
+            room = budget - n_new
+            if at and texts[0][0] == "system":
+                kept = min(size[conv, 0], allowance)
+                if n_new > budget or n_new + kept <= budget:
+                    assert past[0].role == "system" and texts[0][1].startswith(past[0].text) and tokens(past[0]) == kept
+                    past, room = past[1:], room - kept
+            n, used = 0, 0
+            while n < at and used + size[conv, at - n - 1] <= min(room, history):
+                n, used = n + 1, used + size[conv, at - n - 1]
+            want = [x for x in texts[at - n : at] if x[0] != "system"]
+            assert [(t.role, t.text) for t in past if t.role != "system"] == want
+            at += len(new)
+    assert max(r.n_repeated for r in read) > 3
+    assert chat.windows(table.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="no room"):
+        chat.windows(table, 100, 80)
+
+
+def test_chat_repeated_rows_are_turns(spark):
+    rows = [(1, 0, "user", "same")] * 3 + [(1, 0, "assistant", "same")] * 2
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 1 and len(out[0].loss) == 2 and out[0].formatted.count("same") == 5
+
+
 def test_html(spark):
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">Accept all</div><article><h1>Big &amp; news</h1><p>Some  <b>bold</b>&nbsp;text here, and more of it.<br>Next.<script>x()</script></p></article><footer>Imprint</footer></body>'
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page), (4, "v", "<p>un<b>closed <!-- x")]
