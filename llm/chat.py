@@ -5,17 +5,16 @@ Template. A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles
 every text can be read back (``unescape``).
 
 Windows. Turns are counted in tokens (words and ``OVERHEAD`` for the markers). The prefix sum of a conversation
-cuts it into cells of ``step`` tokens: a turn belongs to the cell in which it starts, whole. The last turn of a cell may reach
-beyond it; if the cell's turns are then more than ``step`` tokens, that turn has a window of its own. So each turn is new in
-exactly one window, whole, and the new turns of a window are ``step`` tokens at most, or a single turn. Each window starts with
-the conversation's first system turn (unless new there) and repeats the turns before it that fit in ``history`` tokens and in what is
-left of the budget. A quarter of the budget is the system turn's: a longer one is repeated up to there only. A window thus
-keeps ``budget``, unless its one new turn alone is larger; such a window has no history. A system turn that would
-make a window too large which fits without it is left out there. The loss mask has the texts of new assistant turns only:
-repeated ones are masked.
+cuts it into cells, of the budget less what history or the system turn may take: a turn belongs to the cell in which it starts,
+whole, so only the last turn of a cell reaches beyond it. A cell is a window if it fits in the budget with the system turn; if not,
+its last turn has a window of its own. So each turn is new in exactly one window, whole. Each window starts with the
+conversation's first system turn (unless new there), of which ``system`` tokens are repeated at most, and then repeats the turns before
+it that fit in ``history`` tokens and in what is left of the budget. A window thus keeps ``budget``, unless its one
+new turn alone is larger; what such a window repeats is bounded all the same. A system turn is left out of a window that fits only
+without it. The loss mask has the texts of new assistant turns only: repeated ones are masked.
 
 Scale. Prefix sums come in two steps, blocks of ``BLOCK`` turn numbers and turns within a block, so one
-conversation with a third of all rows is spread over its blocks. Cells group at most ``step`` tokens and one turn, and get the
+conversation with a third of all rows is spread over its blocks. Cells group at most a budget of tokens and one turn, and get the
 end of the cell before by its number. The system turn is joined by conversation and ``SPREAD`` cells, so that the windows of one
 conversation do not meet in a task.
 
@@ -79,21 +78,20 @@ def _systems(cells: DataFrame, allowance: int) -> DataFrame:
     return found.where(F.col("system").isNotNull()).select("s_conv", "system", F.explode(places).alias("s_cells"))
 
 
-def windows(conversations: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, system: int = 128) -> DataFrame:
     """One row per training window: conv_id, window, formatted, n_repeated, loss.
 
     ``window`` rises within a conversation, with gaps. ``n_repeated`` turns at the front are repeated; ``loss`` is
     array<struct<start, length>> of code points in ``formatted``.
     """
-    allowance = budget // 4
-    step = budget - history - allowance
-    if allowance < OVERHEAD or history < 0 or step < 1:
-        raise ValueError(f"a budget of {budget} tokens leaves no room beside {history} of history and {allowance} for the system turn")
+    step = budget - max(history, system)
+    if system < OVERHEAD or history < 0 or step < 1:
+        raise ValueError(f"a budget of {budget} tokens leaves no room beside {history} of history and {system} for the system turn")
     turn = F.struct("start", "stop", "role", "text")
     cells = durable(_spans(conversations, step).groupBy("conv_id", "cell").agg(F.sort_array(F.collect_list(turn)).alias("turns")))
     near_end = lambda t: (t.start >= (F.col("cell") + 1) * step - history) & (t.stop - t.start <= history)
     tails = cells.select(F.col("conv_id").alias("t_conv"), (F.col("cell") + 1).alias("t_cell"), F.filter("turns", near_end).alias("tail"))
-    systems = _systems(cells, allowance)
+    systems = _systems(cells, system)
     rows = cells.join(
         tails.where(F.size("tail") > 0), F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("cell") == F.col("t_cell")), "left"
     ).join(systems, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.floor(F.col("cell") / SPREAD) == F.col("s_cells")), "left")
@@ -103,7 +101,9 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128) ->
     first, last = F.element_at("turns", 1), F.element_at("turns", -1)
     within = F.slice("turns", F.lit(1), F.size("turns") - 1)
     window = lambda rest, new, past: F.struct((2 * F.col("cell") + rest).alias("window"), new.alias("new"), past.alias("past"))
-    alone = (F.size("turns") > 1) & (last.stop - first.start > step)
+    system_size = F.least(F.col("system.stop") - F.col("system.start"), F.lit(system))
+    repeated = F.when(F.col("system.start") < first.start, system_size).otherwise(0)
+    alone = (F.size("turns") > 1) & (last.stop - first.start + repeated > budget)
     pieces = F.when(alone, F.array(window(0, within, tail), window(1, F.array(last), F.concat(tail, within)))).otherwise(
         F.array(window(0, F.col("turns"), tail))
     )
@@ -111,9 +111,8 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128) ->
 
     begin = F.element_at("new", 1).start
     size = F.element_at("new", -1).stop - begin
-    system_size = F.least(F.col("system.stop") - F.col("system.start"), F.lit(allowance))
     keep_system = F.col("system").isNotNull() & (F.col("system.start") < begin) & ((size + system_size <= budget) | (size > budget))
-    left = budget - size - F.when(keep_system, system_size).otherwise(0)
+    left = F.when(size > budget, history).otherwise(budget - size - F.when(keep_system, system_size).otherwise(0))
     past = F.filter("past", lambda t: t.start >= begin - F.least(left, F.lit(history)))
     past = F.when(keep_system, F.concat(F.array("system"), F.filter(past, lambda t: t.start != F.col("system.start")))).otherwise(past)
     rows = rows.select("conv_id", "window", "new", past.alias("past"))

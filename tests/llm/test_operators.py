@@ -277,25 +277,27 @@ def test_chat_windows_keep_the_budget(spark):
             size[conv, t] = words + chat.OVERHEAD
     schema = "conv_id long, turn long, role string, text string, window string, loss double"
     table = spark.createDataFrame(rows, schema).repartition(5)
-    out = chat.windows(table, budget, history)
+    out = chat.windows(table, budget, history, allowance)
     read = out.select("conv_id", "window", "n_repeated", chat.read_turns(F.col("formatted")).alias("turns")).collect()
     tokens = lambda t: len(t.text.split()) + chat.OVERHEAD
     for conv in (1, 2, None, 4):
         own = sorted((r for r in read if r.conv_id == conv), key=lambda r: r.window)
         texts = [(r, x) for c, _, r, x, *_ in rows if c == conv]
         assert [(t.role, t.text) for r in own for t in r.turns[r.n_repeated :]] == texts
+        # neighbours are apart only where they do not fit together, or a cell ends
+        assert len(own) <= 2 * (sum(size[conv, i] for i in range(len(texts))) // (budget - allowance) + 1)
         at = 0
         for r in own:
             past, new = r.turns[: r.n_repeated], r.turns[r.n_repeated :]
             n_new = sum(map(tokens, new))
             assert sum(map(tokens, r.turns)) <= budget or len(new) == 1 and n_new > budget
-            assert n_new <= budget - history - allowance or len(new) == 1
             room = budget - n_new
             if at and texts[0][0] == "system":
                 kept = min(size[conv, 0], allowance)
                 if n_new > budget or n_new + kept <= budget:
                     assert past[0].role == "system" and texts[0][1].startswith(past[0].text) and tokens(past[0]) == kept
                     past, room = past[1:], room - kept
+            room = history if n_new > budget else room
             n, used = 0, 0
             while n < at and used + size[conv, at - n - 1] <= min(room, history):
                 n, used = n + 1, used + size[conv, at - n - 1]
@@ -305,7 +307,7 @@ def test_chat_windows_keep_the_budget(spark):
     assert max(r.n_repeated for r in read) > 3
     assert chat.windows(table.limit(0)).collect() == []
     with pytest.raises(ValueError, match="no room"):
-        chat.windows(table, 100, 80)
+        chat.windows(table, 100, 100)
 
 
 def test_chat_repeated_rows_are_turns(spark):
