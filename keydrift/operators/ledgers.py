@@ -16,9 +16,11 @@ used: it saves the sort in front of the first reduction.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keydrift.functions.keys import fingerprint, joined_key, named, nullable_key, require_columns
 from keydrift.operators.normalize import (
@@ -36,6 +38,10 @@ INSERT, DELETE, UPDATE = "INSERT", "DELETE", "UPDATE"
 # The type of ``n_rows`` where pairs are counted.
 PAIRS = "decimal(38,0)"
 
+# A count stays below this, so that an order and a count fit in one decimal; null is before every 64-bit order.
+COUNT_RANGE = "CAST(4611686018427387904 AS decimal(19,0))"
+NULL_ORDER = "CAST('-9223372036854775809' AS decimal(20,0))"
+
 LEDGER_COLUMNS = ("key", "status", "changed_columns", "n_rows", "rows_before", "rows_after")
 
 
@@ -182,18 +188,21 @@ def fingerprint_ledger(before: DataFrame, after: DataFrame, options: DiffOptions
     """Each after row against the fingerprint of its key's last before row.
 
     Only the key, 8 bytes of hash (32 with ``wide_fingerprint``) and the order columns are shuffled. The first
-    aggregate counts equal rows, the second finds the last before row's count.
+    aggregate counts equal rows, the second finds the last before row's count. Of several last rows the one that
+    the most after rows share counts. If the order is one column of whole numbers, dates or times (or there is none), it
+    is carried as a number, and nothing is sorted.
     """
     require_columns(before, options.primary_keys, "before")
     require_columns(after, options.primary_keys, "after")
+    packed = packed_order(before, options)
 
     def hashed(df: DataFrame, old: int) -> DataFrame:
         values = {c: named(c) for c in df.columns if c not in options.order_by}
-        order = F.struct(F.lit(0), *[named(c) for c in options.order_by]) if old else F.lit(None)
+        order = packed if packed is not None else F.struct(F.lit(0), *[named(c) for c in options.order_by])
         return df.select(
             joined_key([named(k) for k in options.primary_keys]).alias("_key"),
             fingerprint(values, options.wide_fingerprint).alias("_print"),
-            order.alias("_order"),
+            (order if old else F.lit(None)).alias("_order"),
             F.lit(old).cast("bigint").alias("_old"),
             F.lit(1 - old).cast("bigint").alias("_new"),
         )
@@ -204,16 +213,112 @@ def fingerprint_ledger(before: DataFrame, after: DataFrame, options: DiffOptions
         .groupBy("_key", "_print")
         .agg(F.max("_order").alias("_order"), F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
     )
-    last = F.when(F.col("_order").isNotNull(), F.struct("_order", "_print", F.col("_new").alias("equal")))
+    if packed is not None:
+        equal = _count_of(F.max(_order_and_count("_order", "_new")))
+    else:
+        equal = F.max(F.when(F.col("_order").isNotNull(), F.struct("_order", F.col("_new").alias("equal"))))["equal"]
     per_key = distinct_rows.groupBy("_key").agg(
-        F.sum("_old").alias("rows_before"),
-        F.sum("_new").alias("rows_after"),
-        F.max(last)["equal"].alias("_equal"),
+        F.sum("_old").alias("rows_before"), F.sum("_new").alias("rows_after"), equal.alias("_equal")
     )
     unequal = F.col("rows_after") - F.col("_equal")
     return _counted(per_key, F.col("_key"), unequal, deletes=F.lit(1).cast("bigint"))
 
 
+def packed_order(df: DataFrame, options: DiffOptions) -> Column | None:
+    """The order of rows as a number, null first; None if it cannot be had from the order columns' types.
+
+    A number can be aggregated in place, whereas texts and structs make Spark sort in front of every aggregate.
+    """
+    if not options.order_by:
+        return F.lit(0).cast("decimal(20,0)")
+    if len(options.order_by) > 1:
+        return None
+    column, kind = named(options.order_by[0]), df.schema[options.order_by[0]].dataType
+    if isinstance(kind, T.DateType):
+        column = F.unix_date(column)
+    elif isinstance(kind, T.TimestampType):
+        column = F.unix_micros(column)
+    elif not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return None
+    return F.coalesce(column.cast("decimal(20,0)"), F.expr(NULL_ORDER))
+
+
+def _order_and_count(order: str, count: str) -> Column:
+    """A number that sorts by order, then count; null without an order."""
+    return (F.col(order) * F.expr(COUNT_RANGE) + F.col(count).cast("decimal(19,0)")).cast(PAIRS)
+
+
+def _count_of(packed: Column) -> Column:
+    return F.pmod(packed, F.expr(COUNT_RANGE)).cast("bigint")
+
+
+# The modes whose totals can come from one pass.
+SHARED_MODES = ("raw", "fingerprint", "presence")
+
+
+def shared_totals(before: DataFrame, after: DataFrame, modes: Sequence[str], options: DiffOptions) -> DataFrame:
+    """``mode, rows_before, rows_after, rows_diff`` of several of ``SHARED_MODES`` from one scan of each side.
+
+    Every row goes into one aggregate once for each mode, with the mode and what the mode tells rows apart by as its
+    group: equal rows meet before the shuffle, as in the modes' own ledgers, with which the totals agree.
+    """
+    unknown = set(modes) - set(SHARED_MODES)
+    packed = packed_order(before, options)
+    if unknown or ("fingerprint" in modes and packed is None):
+        raise ValueError(f"no shared pass for {', '.join(sorted(unknown)) or 'an order that is not one number'}")
+    keys = [named(k) for k in options.primary_keys]
+    prints = {
+        id(df): fingerprint({c: named(c) for c in df.columns if c not in options.order_by}, options.wide_fingerprint)
+        for df in (before, after)
+    }
+    # fingerprints are of the columns and types that a side has itself
+    hashed = [
+        df.select("*", prints[id(df)].alias("_print"), order.alias("_order"))
+        for df, order in ((before, packed if packed is not None else F.lit(None)), (after, F.lit(None)))
+    ]
+    rows = _both_sides(*hashed, options).drop(*options.order_by)
+    values = [named(c) for c in rows.columns if c not in ("_old", "_new", "_print", "_order")]
+    columns = {"_raw_key": F.struct(*keys), "_row": F.struct(*values), "_key": joined_key(keys), "_print": F.col("_print")}
+    lone = F.when(_any_null(keys), F.col("_old"))
+    told_apart = {
+        "raw": {"_raw_key": columns["_raw_key"], "_row": columns["_row"], "_lone": lone},
+        "fingerprint": {"_key": columns["_key"], "_print": columns["_print"], "_order": F.col("_order")},
+        "presence": {"_key": nullable_key(keys), "_lone": lone},
+    }
+    slots = {**columns, "_lone": lone, "_order": F.col("_order")}
+    none = {name: F.when(F.lit(False), column) for name, column in slots.items()}
+    entries = rows.select(
+        "_old",
+        "_new",
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(m).alias("_mode"), *[told_apart[m].get(n, none[n]).alias(n) for n in slots]) for m in modes
+            ])
+        ).alias("_entry"),
+    ).select("_old", "_new", "_entry.*")
+    distinct_rows = entries.groupBy("_mode", "_raw_key", "_key", "_lone", "_row", "_print").agg(
+        F.sum("_old").alias("_old"), F.sum("_new").alias("_new"), F.max("_order").alias("_order")
+    )
+    per_key = distinct_rows.groupBy("_mode", "_raw_key", "_key", "_lone").agg(
+        F.sum("_old").alias("rows_before"),
+        F.sum("_new").alias("rows_after"),
+        F.sum(F.when(F.col("_mode") == "raw", _pairs("_old", "_new"))).alias("_equal_pairs"),
+        _count_of(F.max(_order_and_count("_order", "_new"))).alias("_equal_last"),
+    )
+    by_print = F.col("_mode") == "fingerprint"
+    pairs = _pairs("rows_before", "rows_after") - F.coalesce("_equal_pairs", F.lit(0).cast(PAIRS))
+    updates = F.when(by_print, (F.col("rows_after") - F.col("_equal_last")).cast(PAIRS)).otherwise(pairs.cast(PAIRS))
+    deletes = F.when(by_print, F.lit(1).cast("bigint")).otherwise(F.col("rows_before"))
+    counted = _counted(per_key, F.col("_mode"), updates, deletes)
+    wanted = {"rows_before": F.col("rows_before"), "rows_after": F.col("rows_after"), "rows_diff": F.when(F.col("status").isNotNull(), F.col("n_rows"))}
+    # a mode has its row even if there are no rows at all
+    sums = counted.agg(
+        *[F.coalesce(F.sum(F.when(F.col("key") == m, c)), F.lit(0)).alias(f"{m}_{n}") for m in modes for n, c in wanted.items()]
+    )
+    per_mode = F.array(*[F.struct(F.lit(m).alias("mode"), *[F.col(f"{m}_{n}").alias(n) for n in wanted]) for m in modes])
+    return sums.select(F.explode(per_mode).alias("_totals")).select("_totals.*")
+
+
 def _both_sides(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
     require_columns(before, options.primary_keys, "before")
     require_columns(after, options.primary_keys, "after")

@@ -17,6 +17,7 @@ from keydrift.operators import (
     totals,
 )
 from keydrift.options import DiffOptions
+from keydrift.plans.comparison import strategy_matrix
 from pyspark.sql import functions as F
 
 COLUMNS = ("user_id", "tags", "levels", "timestamps", "op_type")
@@ -289,3 +290,51 @@ def test_keys_of_normalized_columns(spark, keys):
     b, a = frame(spark, rows), frame(spark, other)
     assert rows_of(diff(b, a, options=options)) == model.normalized_diff(rows, other, "A", keys) == []
     assert all_keys(b, a, options).count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("order, extra", [((), True), (("at",), False), (("seq",), True)])
+def test_modes_that_share_a_pass_agree_with_their_ledgers(spark, order, extra):
+    rng = random.Random(len(order) + extra)
+
+    def side(more):
+        rows = [
+            (rng.choice([None, "", "a", "b", "c", "d||e"]), rng.choice([None, "", "x", "||x"]), rng.choice([None, "", "1", "2"]),
+             rng.choice([None, 3, 4]), rng.choice([None, *range(-2, 6)]), "s%d" % rng.randint(0, 9))
+            for _ in range(rng.randint(60, 90))
+        ]
+        df = spark.createDataFrame(rows, "k1 string, k2 string, v string, n int, at int, seq string")
+        return df.withColumn("more", F.col("v")).withColumn("n", F.col("n").cast("bigint")) if more else df
+
+    before, after = side(False), side(extra)
+    options = DiffOptions(primary_keys=("k1", "k2"), order_by=order)
+    none = spark.createDataFrame([], before.schema)
+    for sides in ((before, after), (none, none), (before, before)):
+        got = {r.mode: tuple(map(int, r[1:4])) for r in strategy_matrix(*sides, ("raw", "fingerprint", "presence", "what"), options).collect()}
+        want = {m: tuple(map(int, totals(ledger(*sides, m, options)).first())) for m in ("raw", "fingerprint", "presence")}
+        assert got == {**want, "what": (0, 0, 0)}
+
+
+def test_a_shared_pass_scans_once_and_does_not_sort(spark, tmp_path):
+    rows = spark.range(50).selectExpr("cast(id % 7 as string) AS user_id", "cast(id as string) AS v", "id AS seq")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    options = DiffOptions(order_by=("seq",))
+    plan = _plan(strategy_matrix(rows, rows.where("seq > 3"), ("raw", "fingerprint", "presence"), options))
+    assert plan.count("FileScan parquet") == 2 and "SortAggregate" not in plan and "Join" not in plan
+    assert "SortAggregate" not in _plan(ledger(rows, rows, "fingerprint", options))
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint", "date", "timestamp"])
+def test_the_last_row_by_a_packed_order(spark, kind):
+    """A null order comes first, the least number after it; the last before row is the one that counts."""
+    low = {"tinyint": "-128", "int": "-2147483648", "bigint": "-9223372036854775808", "date": "DATE'0001-01-01'", "timestamp": "TIMESTAMP'0001-01-01'"}[kind]
+    high = {"tinyint": "127", "int": "2147483647", "bigint": "9223372036854775807", "date": "DATE'9999-12-31'", "timestamp": "TIMESTAMP'9999-12-31'"}[kind]
+    spark_rows = lambda *rows: spark.sql(" UNION ALL ".join(f"SELECT '{k}' user_id, '{v}' v, CAST({o} AS {kind}) seq" for k, v, o in rows))
+    before = spark_rows(("a", "old", "NULL"), ("a", "new", low), ("b", "old", low), ("b", "new", high), ("c", "x", "NULL"))
+    after = spark_rows(("a", "new", low), ("b", "new", low), ("b", "old", high), ("b", "new", low), ("c", "x", high))
+    found = diff_counts(before, after, "fingerprint", DiffOptions(order_by=("seq",))).collect()
+    assert [(r.key, r.status, r.n_rows) for r in found] == [("b", "UPDATE", 1)]
