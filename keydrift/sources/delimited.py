@@ -23,6 +23,9 @@ DIALECT = {"quote": '"', "escape": '"'}
 ROW_ORDER = "_row_order"
 HEADER_MODES = ("same", "by_name")
 
+# Endings of packed files that a scan cannot split.
+UNSPLIT = r"(?i)\.(gz|deflate|snappy|lz4|zst)$"
+
 # A task that has read the header of a file up to this size reads on to its end, so that its Python worker can be used again.
 SMALL_FILE = 4 << 20
 
@@ -35,6 +38,7 @@ def read_delimited(
     multi_line: bool = False,
     row_order: bool = False,
     corrupt_column: str | None = None,
+    packed_part: int | None = None,
 ) -> DataFrame:
     """All columns as text, named by the header line; blank fields are null.
 
@@ -49,8 +53,12 @@ def read_delimited(
     place in it. Short rows are filled with null, surplus fields are dropped;
     ``corrupt_column`` receives the text of such rows. The scan splits files at
     line breaks unless ``multi_line`` allows line breaks inside quotes. A row of
-    blank fields is a row; lines without any character, and blank ones before the
+``corrupt_column`` receives the text of such rows. and blank ones before the
     header, are skipped.
+
+    One task reads a file that cannot be split (packed, or with ``multi_line``), and goes on with its rows. With
+    ``packed_part``, if such a file is larger than so many bytes, the rows are dealt over partitions, one for so many
+    bytes of these files as they are stored. What a query does not read of them is not dealt.
     """
     if headers not in HEADER_MODES:
         raise ValueError(f"headers must be one of {HEADER_MODES}, got {headers!r}")
@@ -58,14 +66,28 @@ def read_delimited(
     options = {**DIALECT, "sep": delimiter, "header": True, "multiLine": multi_line}
     try:
         if headers == "by_name":
-            return _read_by_name(spark, paths, options, row_order, corrupt_column)
-        return _scan(spark, paths, options, _one_header(spark, paths, options), row_order, corrupt_column)
+            rows = _read_by_name(spark, paths, options, row_order, corrupt_column)
+        else:
+            rows = _scan(spark, paths, options, _one_header(spark, paths, options), row_order, corrupt_column)
+        parts = _parts_of_unsplit(spark, paths, multi_line, packed_part) if packed_part else 0
+        return rows.repartition(parts) if parts > 1 else rows
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no files match: {', '.join(paths)}") from exc
         raise
 
 
+def _parts_of_unsplit(spark: SparkSession, paths: list[str], multi_line: bool, packed_part: int) -> int:
+    """How many parts of this size the files make that a scan cannot split; 0 if none of them is larger than a part.
+
+    Looks at lengths only, in one job, and brings two numbers to the driver.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    unsplit = files if multi_line else files.where(F.col("path").rlike(UNSPLIT))
+    sizes = unsplit.agg(F.max("length").alias("largest"), F.sum("length").alias("total")).first()
+    return -(-sizes.total // packed_part) if (sizes.largest or 0) > packed_part else 0
+
+
 def column_names(header: Sequence[str | None]) -> list[str]:
     """Distinct names, in any case, for the fields of a header."""
     left = Counter((h or "").lower() for h in header)

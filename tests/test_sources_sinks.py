@@ -10,6 +10,7 @@ from keydrift.plans.comparison import benchmark, compare, read_pair, resolve_mod
 from keydrift.plans.job import run_job
 from keydrift.sinks import publish_dataset, read_diff, write_diff
 from keydrift.sources import ROW_ORDER, read_delimited
+from pyspark.sql import functions as F
 
 HEADER = "user_id\ttags\tlevels\ttimestamps\top_type\n"
 BEFORE = HEADER + "u1\t2|1\t10|2\t2026-01-07 00:00:00\tU\nu2\tB|A\tX|3\t2026-01-08 00:00:00\tD\n"
@@ -52,6 +53,27 @@ def test_ragged_rows(spark, tmp_path):
     assert df.collect() == [("1", None, None, "1"), ("1", "2", "3", "1\t2\t3\t4"), ("1", "2", "3", None)]
 
 
+@pytest.mark.parametrize("headers", ["same", "by_name"])
+def test_rows_of_large_packed_files_are_dealt(spark, tmp_path, headers):
+    lines = [f"u{i}\t{i * 7919 % 1000003}\n" for i in range(3000)]
+    with gzip.open(tmp_path / "a.tsv.gz", "wt") as out:
+        out.write("user_id\tv\n" + "".join(lines))
+    (tmp_path / "b.tsv").write_text("user_id\tv\nu1\tlast\n")
+    size = (tmp_path / "a.tsv.gz").stat().st_size
+    path = f"{tmp_path}/*.tsv*"
+    plain = read_delimited(spark, path, headers=headers, row_order=True)
+    dealt = read_delimited(spark, path, headers=headers, row_order=True, packed_part=size // 4)
+    assert dealt.rdd.getNumPartitions() == 5
+    counts = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(counts) == 5 and max(counts) < 1000
+    assert rows_of(dealt.drop(ROW_ORDER)) == rows_of(plain.drop(ROW_ORDER))
+    last = lambda df: {r.user_id: r.v for r in last_per_key(df, ["user_id"], [ROW_ORDER]).collect()}
+    assert last(dealt) == last(plain) and last(dealt)["u1"] == "last"
+    # small files, plain ones and an absent setting leave the scan as it is
+    for where, part in ((path, size), (f"{tmp_path}/b.tsv", 1), (path, None)):
+        assert "RoundRobin" not in read_delimited(spark, where, headers=headers, packed_part=part)._jdf.queryExecution().toString()
+
+
 def test_line_breaks_in_quotes(spark, tmp_path):
     (tmp_path / "x.tsv").write_text('a\tb\n"1\n2"\tx\n')
     assert read_delimited(spark, str(tmp_path / "x.tsv"), multi_line=True).collect() == [("1\n2", "x")]
