@@ -338,3 +338,26 @@ def test_the_last_row_by_a_packed_order(spark, kind):
     after = spark_rows(("a", "new", low), ("b", "new", low), ("b", "old", high), ("b", "new", low), ("c", "x", high))
     found = diff_counts(before, after, "fingerprint", DiffOptions(order_by=("seq",))).collect()
     assert [(r.key, r.status, r.n_rows) for r in found] == [("b", "UPDATE", 1)]
+
+
+def test_rows_are_not_sorted_ahead_of_the_shuffle(spark, tmp_path):
+    """Only those of crowded buckets are: 200 rows of a key leave their task as one, 200 keys of one row are dealt as they are."""
+    rows = spark.range(400).selectExpr("if(id < 200, 'hot', concat('k', id)) AS user_id", "cast(id as string) AS tags", "id AS seq")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    lines = _plan(ledger(rows, rows, "normalized", DiffOptions(order_by=("seq",)))).splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)
+    under = lines[dealt + 1 : next(i for i, line in enumerate(lines) if i > dealt and "FileScan" in line)]
+    assert not [line for line in under if "Sort" in line]
+
+
+@pytest.mark.parametrize("crowded", [0, 1, 5])
+def test_crowded_buckets_are_reduced_first(spark, monkeypatch, crowded):
+    monkeypatch.setattr("keydrift.operators.ledgers.CROWDED", crowded)
+    rng = random.Random(crowded)
+    before, after = random_rows(rng, 60, 12), random_rows(rng, 60, 12)
+    case(spark, before, after, COLUMNS)
+    options = ORDERED.with_(key_mode="struct", primary_keys=("user_id", "op_type"))
+    live = lambda rows: sum(model.op(r["op_type"]) != "D" for r in rows)
+    entries = ledger(frame(spark, before), frame(spark, after), "normalized", options)
+    assert rows_of(totals(entries))[0][:2] == (live(before), live(after))
