@@ -67,6 +67,8 @@ from registry.snapshots import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 GENERATOR = GeneratorOptions(missing_rate=0.05, mismatch_rate=0.1)
+# Packed files are not split, so that each is one task's to write and to read.
+ROWS_OF_FILE = 100_000
 STRICT = LINE_OPTIONS.with_(strictness="B")
 
 
@@ -450,8 +452,9 @@ def gen_manifest(spark, sf_dir):
 
 
 def gen_write(spark, sf_dir):
-    """The rows of all orders, written to several files and read back."""
-    rows = side_rows(order_indices(spark, sf_dir).repartition(5, "idx"), GENERATOR, "after")
+    """The rows of all orders, written to several files, more of them for more rows, and read back."""
+    files = max(5, -(-_order_count(spark, sf_dir) // ROWS_OF_FILE))
+    rows = side_rows(order_indices(spark, sf_dir).repartition(files, "idx"), GENERATOR, "after")
     path = write_delimited(rows, shared_path(spark, "gen_write"), gzip=True)
     return read_delimited(spark, path)
 

@@ -142,3 +142,16 @@ def test_generate_and_compare(spark, tmp_path, packed):
     assert {k: s for k, (s, _) in found.items()} == expected
     assert {c for s, c in found.values() if s == "UPDATE"} == {"tags", "levels", "ts"}
     assert manifest["mismatch_rows"] == sum(s == "UPDATE" for s in expected.values())
+
+
+def test_written_files_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from registry import queries
+
+    spark.range(1000).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    counted = []
+    write = queries.write_delimited
+    monkeypatch.setattr(queries, "write_delimited", lambda rows, *a, **k: counted.append(rows.rdd.getNumPartitions()) or write(rows, *a, **k))
+    few = sorted(map(tuple, queries.gen_write(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(queries, "ROWS_OF_FILE", 120)
+    assert sorted(map(tuple, queries.gen_write(spark, str(tmp_path)).collect())) == few
+    assert counted == [5, 9]
