@@ -30,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -171,10 +172,34 @@ def spelled_groups(t: Tokens) -> list[str]:
     ids[np.arange(len(t.b)) + in_a[group_b + 1]] = t.b
     mark[in_a[1:] + in_b[:-1] - 1] = 1
     mark[in_a[1:] + in_b[1:] - 1] = 2
-    names = [f"{i}{m}" for i in range(int(ids.max()) + 1 if len(ids) else 0) for m in ",|;"]
-    texts = list(map(names.__getitem__, (ids * 3 + mark).tolist()))
-    cuts = np.concatenate(([0], np.cumsum(t.n_a + t.n_b)))
-    return ["".join(texts[x:y])[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    if not len(ids):
+        return [""] * len(t.n_a)
+    # an Arrow array of texts holds them one after the other
+    names = _marked_ids(1 << int(ids.max()).bit_length())
+    _, ends, text = names.take(pa.array(ids * 3 + mark)).buffers()
+    cuts = np.frombuffer(ends, np.int64)[np.concatenate(([0], np.cumsum(t.n_a + t.n_b)))]
+    text = text.to_pybytes()
+    return [text[x : max(x, y - 1)].decode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _marked_ids(n: int) -> pa.Array:
+    """Each id below n with each mark behind it."""
+    return pa.array([f"{i}{m}" for i in range(n) for m in ",|;"], pa.large_string())
+
+
+def document_counts(doc: np.ndarray, pair: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of ids in order, B's ids being below n_b, and how many documents hold each."""
+    short = (pair >> 32) * n_b + (pair & 0xFFFFFFFF)
+    if len(pair) and max(int(short.max()), int(doc.max())) >= 1 << 31:
+        short = np.unique(pair)
+        each = np.unique(np.searchsorted(short, pair) << 32 | doc)
+        return short, np.bincount(each >> 32, minlength=len(short))
+    # pair and document in one number: sorted once
+    each = np.sort(short << 32 | doc)
+    each = each[np.concatenate(([True], each[1:] != each[:-1]))[: len(each)]] >> 32
+    first = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1]))[: len(each)])
+    return each[first] // n_b << 32 | each[first] % n_b, np.diff(np.append(first, len(each)))
 
 
 ENCODED = "chunk long, doc_id array<long>, n_a array<int>, n_b array<int>, a binary, b binary"
@@ -217,9 +242,7 @@ def align(encoded: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 doc, pair = tokens(row, *sizes.value).links()
-                ids = np.unique(pair)
-                each = np.unique(np.searchsorted(ids, pair) << 32 | doc)
-                n = np.bincount(each >> 32, minlength=len(ids))
+                ids, n = document_counts(doc, pair, len(sizes.value[1]))
                 yield pa.record_batch([pa.array(np.full(len(ids), row["chunk"])), pa.array(ids), pa.array(n)], ["chunk", "pair", "n"])
 
     # made twice, which costs less than to keep them: to count, and to be looked up
@@ -236,7 +259,7 @@ def align(encoded: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
             doc, pair = t.links()
             pairs = known.column("pair").to_numpy()
             order = np.argsort(pairs)
-            at = order[np.searchsorted(pairs, pair, sorter=order)] if len(pair) else np.empty(0, np.int64)
+            at = order[np.searchsorted(pairs[order], pair)] if len(pair) else np.empty(0, np.int64)
             n = len(t.n_a)
             total = lambda values: pa.array(np.bincount(doc, values, n).astype(np.int64)) if len(doc) else pa.array(np.zeros(n, np.int64))  # noqa: B023, E731
             group, _ = t.groups()

@@ -101,3 +101,16 @@ def test_empty(spark):
     assert alignment.find(spark.createDataFrame([], SCHEMA)).collect() == []
     got = alignment.find(spark.createDataFrame([(5, None, 1, "", 1, 1)], SCHEMA)).collect()
     assert [tuple(r) for r in got] == [(5, 0, 0, 0, 0, 0, 0, "")]
+
+
+@pytest.mark.parametrize("n_b", [9, 1 << 31])
+def test_documents_of_pairs_are_counted_in_one_sort(n_b):
+    """Also where pair and document do not fit in one number; ids of any size."""
+    np, rng = alignment.np, random.Random(n_b)
+    rows = sorted((rng.randrange(12), rng.randrange(7), rng.randrange(9)) for _ in range(3000))
+    doc, a, b = (np.array(x, np.int64) for x in zip(*rows))
+    ids, n = alignment.document_counts(doc, a << 32 | b, n_b)
+    want = collections.Counter((x, y) for _, x, y in set(rows))
+    assert [(i >> 32, i & 0xFFFFFFFF, k) for i, k in zip(ids.tolist(), n.tolist())] == [(*p, want[p]) for p in sorted(want)]
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in alignment.document_counts(none, none, n_b)] == [0, 0]
