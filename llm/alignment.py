@@ -122,30 +122,41 @@ class Tokens:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """The document and the pair of ids (A's in the upper 32 bits) of every link, by A token."""
-        first = np.searchsorted(self.end_b, np.concatenate(([0], self.end_a))[: len(self.a)], "right")
-        last = np.searchsorted(self.end_b, self.end_a, "left")
-        count = last - first + 1
-        which = np.repeat(np.arange(len(self.a)), count)
-        other = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        doc = np.repeat(np.arange(len(self.n_a)), self.n_a)
-        return doc[which], self.a[which].astype(np.int64) << 32 | self.b[other].astype(np.int64)
+        if not len(self.a):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        ended = _ended(self.end_b)
+        first = ended[np.concatenate(([0], self.end_a[:-1]))]
+        count = ended[self.end_a - 1] - first + 1
+        upto = np.concatenate(([0], np.cumsum(count)))
+        other = np.arange(upto[-1]) + np.repeat(first - upto[:-1], count)
+        of_doc = np.diff(upto[np.concatenate(([0], np.cumsum(self.n_a)))])
+        return np.repeat(np.arange(len(self.n_a)), of_doc), np.repeat(self.a.astype(np.int64) << 32, count) | self.b[other]
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """The number of each A token's and each B token's group, in order over the chunk."""
         n = len(self.a)
-        holds_a = np.searchsorted(self.end_b, self.end_a, "left")
-        to_right = np.where(self.end_b[holds_a] > self.end_a, n + holds_a, np.arange(n)) if n else np.empty(0, np.int64)
-        pointer = np.concatenate((to_right, np.searchsorted(self.end_a, self.end_b, "left")))
-        while True:
-            further = pointer[pointer]
-            if np.array_equal(further, pointer):
-                break
-            pointer = further
-        terminal = np.flatnonzero(pointer[:n] == np.arange(n))
-        number = np.searchsorted(terminal, pointer)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        holds_a = _ended(self.end_b)[self.end_a - 1]
+        to_right = np.where(self.end_b[holds_a] > self.end_a, n + holds_a, np.arange(n))
+        pointer = np.concatenate((to_right, _ended(self.end_a)[self.end_b - 1]))
+        moving = np.arange(len(pointer))
+        while len(moving):
+            # all at once: read before any is written; one that has come to a terminal stays there
+            further = pointer[pointer[moving]]
+            moved = further != pointer[moving]
+            moving = moving[moved]
+            pointer[moving] = further[moved]
+        number = np.cumsum(pointer[:n] == np.arange(n)) - 1
+        number = number[pointer]
         return number[:n], number[n:]
 
 
+def _ended(ends: np.ndarray) -> np.ndarray:
+    """For every offset, how many tokens end there or before: looked up, where a search would take a step a bit."""
+    return np.cumsum(np.bincount(ends))
+
+
 def packed(ids: list[np.ndarray]) -> bytes:
     """Ids as 32-bit numbers, compressed: they are written twice, to files and in a shuffle."""
     return pa.Codec("zstd", compression_level=3).compress(np.concatenate([np.empty(0, np.int32), *ids]).tobytes(), asbytes=True)
@@ -160,9 +171,8 @@ def tokens(row: dict, sizes_a: np.ndarray, sizes_b: np.ndarray) -> Tokens:
     return Tokens(np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64), a, b, np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b]))
 
 
-def spelled_groups(t: Tokens) -> list[str]:
+def spelled_groups(t: Tokens, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
     """Of each document ``a1,a2|b1;a3|b2,b3``: ids of A and of B, group by group."""
-    group_a, group_b = t.groups()
     # groups follow each other: A's tokens stand behind B's of earlier groups, B's behind A's of their own
     n = int(group_a[-1]) + 1 if len(group_a) else 0
     in_a, in_b = (np.concatenate(([0], np.cumsum(np.bincount(g, minlength=n)))) for g in (group_a, group_b))
@@ -262,10 +272,10 @@ def align(encoded: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
             at = order[np.searchsorted(pairs[order], pair)] if len(pair) else np.empty(0, np.int64)
             n = len(t.n_a)
             total = lambda values: pa.array(np.bincount(doc, values, n).astype(np.int64)) if len(doc) else pa.array(np.zeros(n, np.int64))  # noqa: B023, E731
-            group, _ = t.groups()
+            group, group_b = t.groups()
             ends = np.concatenate(([0], np.cumsum(t.n_a)))
             before = np.concatenate(([0], group + 1))[ends]  # groups up to the end of each document
-            texts = spelled_groups(t)
+            texts = spelled_groups(t, group, group_b)
             digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
             count = known.column("count").to_numpy()[at]
             best = known.column("best").to_numpy(zero_copy_only=False)[at]

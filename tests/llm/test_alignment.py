@@ -114,3 +114,27 @@ def test_documents_of_pairs_are_counted_in_one_sort(n_b):
     assert [(i >> 32, i & 0xFFFFFFFF, k) for i, k in zip(ids.tolist(), n.tolist())] == [(*p, want[p]) for p in sorted(want)]
     none = np.empty(0, np.int64)
     assert [len(x) for x in alignment.document_counts(none, none, n_b)] == [0, 0]
+
+
+def test_groups_are_told_once_and_spelled_from_them():
+    """Random tokens over several documents, one without any; one component spans hundreds of tokens."""
+    np, rng = alignment.np, random.Random(4)
+    cuts = lambda: np.diff([0, *sorted(rng.sample(range(1, 150), 60)), 150]).tolist()
+    sizes = [[cuts(), cuts()], [[], []], [[2] * 300, [1, *[2] * 299, 1]]]
+    assert all(sum(a) == sum(b) for a, b in sizes)
+    flat = [[n for doc in sizes for n in doc[k]] for k in (0, 1)]
+    ids = [np.array([rng.randrange(50) for _ in x], np.int32) for x in flat]
+    t = alignment.Tokens(*[np.array([len(doc[k]) for doc in sizes], np.int64) for k in (0, 1)], *ids, *[np.cumsum(x) for x in flat])
+    told = t.groups()
+    known = type("Known", (), {"bytes_a": [b"x" * n for n in flat[0]], "bytes_b": [b"x" * n for n in flat[1]]})
+    spelled, links, at = [], [], [0, 0]
+    for doc, parts in enumerate(sizes):
+        places = [list(range(x, x + len(p))) for x, p in zip(at, parts)]
+        at = [x + len(p) for x, p in zip(at, parts)]
+        groups, pairs = brute(*places, known)
+        spelled.append(";".join("|".join(",".join(str(ids[k][int(i)]) for i in side.split(",")) for k, side in enumerate(g.split("|"))) for g in groups))
+        links += [(doc, int(ids[0][i]) << 32 | int(ids[1][j])) for i, j in pairs]
+    assert alignment.spelled_groups(t, *told) == spelled
+    assert [*zip(*(x.tolist() for x in t.links()))] == links
+    none = alignment.Tokens(*[np.zeros(2, np.int64)] * 2, *[np.empty(0, np.int32)] * 2, *[np.empty(0, np.int64)] * 2)
+    assert alignment.spelled_groups(none, *none.groups()) == ["", ""] and not len(none.links()[0])
