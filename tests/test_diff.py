@@ -361,3 +361,26 @@ def test_crowded_buckets_are_reduced_first(spark, monkeypatch, crowded):
     live = lambda rows: sum(model.op(r["op_type"]) != "D" for r in rows)
     entries = ledger(frame(spark, before), frame(spark, after), "normalized", options)
     assert rows_of(totals(entries))[0][:2] == (live(before), live(after))
+
+
+@pytest.mark.parametrize("crowded", [0, 2, 1 << 20])
+@pytest.mark.parametrize("order", ["seq int", "seq struct<a: string, b: int>"])
+def test_all_modes_take_one_shuffle_of_the_rows(spark, monkeypatch, tmp_path, crowded, order):
+    """Repeated, null and blank keys, a column of one side only; totals as those of the modes' own ledgers."""
+    monkeypatch.setattr("keydrift.operators.ledgers.CROWDED", crowded)
+    rng = random.Random(crowded)
+    column = F.col("seq") if order == "seq int" else F.struct(F.lpad(F.col("seq").cast("string"), 4, "0").alias("a"), F.col("seq").alias("b"))
+    sides = []
+    for side in ("before", "after"):
+        rows = random_rows(rng, 40, 9)
+        rows += [{**r, "user_id": k} for r, k in zip(rng.sample(rows, 6), (None, None, "", " ", "K ", "K"))] + rng.sample(rows, 5)
+        df = frame(spark, rows).withColumn("seq", column).withColumn(f"only_{side}", F.lit("x"))
+        df.repartition(3).write.parquet(str(tmp_path / side))
+        sides.append(spark.read.parquet(str(tmp_path / side)))
+    modes = ("normalized", "raw", "fingerprint", "presence")
+    found = strategy_matrix(*sides, (*modes, "what"), ORDERED)
+    got = {r.mode: tuple(map(int, r[1:4])) for r in found.collect()}
+    want = {m: tuple(map(int, totals(ledger(*sides, m, ORDERED)).first())) for m in modes}
+    assert got == want | {"what": (0, 0, 0)}
+    ran = _plan(found).split("Initial Plan")[0]
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in ran.splitlines()) == 1
