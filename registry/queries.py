@@ -169,7 +169,8 @@ def sink_overwrite(spark, sf_dir):
 def publish_roundtrip(spark, sf_dir):
     """The totals of the diff between a dataset and its published copy; the last row of a customer counts."""
     root = shared_path(spark, "publish")
-    rows = order_text(spark, sf_dir).repartition(4, "order_id")
+    files = max(4, -(-_order_count(spark, sf_dir) // ROWS_OF_FILE))
+    rows = order_text(spark, sf_dir).repartition(files, "order_id")
     write_delimited(rows.where(F.col("status") != "F"), f"{root}/source/before")
     write_delimited(rows, f"{root}/source/after", gzip=True)
     publish_dataset(spark, f"{root}/source", f"{root}/target")
