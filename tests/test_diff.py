@@ -13,6 +13,7 @@ from keydrift.operators import (
     inserted,
     last_per_key,
     ledger,
+    order_by_key,
     tally,
     totals,
 )
@@ -384,3 +385,17 @@ def test_all_modes_take_one_shuffle_of_the_rows(spark, monkeypatch, tmp_path, cr
     assert got == want | {"what": (0, 0, 0)}
     ran = _plan(found).split("Initial Plan")[0]
     assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in ran.splitlines()) == 1
+
+
+def test_a_diff_that_is_sorted_is_computed_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame([(f"u{i}", "INSERT", "") for i in range(50, 0, -1)], "key string, status string, changed_columns string")
+    kept = order_by_key(found.mapInArrow(run, found.schema)).collect()
+    assert [r.key for r in kept] == sorted(r.key for r in kept) and len(kept) == 50
+    assert computed.value == 50
