@@ -349,3 +349,33 @@ def test_publishing_keeps_every_line_in_order(spark, tmp_path):
     parts = sorted(p for p in Path(target).iterdir() if p.name.startswith("part-") and p.stat().st_size)
     got = [(gzip.open(p, "rt") if p.suffix == ".gz" else p.open()).read() for p in parts]
     assert [t for t in got if t] == texts
+
+
+def test_lines_without_quotes_have_the_parser_s_fields(spark, tmp_path):
+    pieces = ["", " ", "a", "é|", "\\", "\x01", "\x1f ", "#", ",", "　", "-"]
+    lines = ["\t".join(pieces[(i * k + i // 7) % len(pieces)] for k in range(1, 2 + i % 6)) for i in range(400)]
+    lines += ['"x\ty"\tz', 'a"b\tc', '"', "\x00a\tb", "a\x00\tb\tc\td", '""\t""']
+    (tmp_path / "x.tsv").write_bytes("\n".join(["p\tq\tr", *lines]).encode() + b"\n\xff\xfe\ta\n")
+    df = read_delimited(spark, str(tmp_path / "x.tsv"), row_order=True)
+    text = spark.read.text(str(tmp_path / "x.tsv")).where("value <> 'p\tq\tr' AND value <> ''")
+    parsed = text.select(F.from_csv("value", "p STRING, q STRING, r STRING", {"sep": "\t", "quote": '"', "escape": '"'}).alias("f"))
+    key = lambda row: tuple("" if v is None else f"={v}" for v in row)
+    assert sorted(map(key, df.drop(ROW_ORDER).collect())) == sorted(map(key, parsed.select("f.*").collect()))
+    assert "split(" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.schema[ROW_ORDER].dataType.names == ["file", "block", "line"]
+
+
+def test_ordered_snapshots_sort_the_given_columns(spark, tmp_path):
+    from registry.snapshots import line_snapshots
+
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz"
+    rows = spark.range(300).selectExpr(
+        "id div 3 AS l_orderkey", "CAST(id % 3 AS int) AS l_linenumber", "id * 37 % 11 AS l_partkey", "id % 5 AS l_suppkey",
+        "IF(id % 7 = 0, NULL, CAST(id % 9 AS double)) AS l_quantity", "IF(id % 2 = 0, 'R', 'N') AS l_returnflag",
+        "IF(id % 11 = 0, NULL, CAST(CAST('2020-01-01' AS date) + CAST(id * 13 % 17 AS int) AS timestamp_ntz)) AS l_shipdate",
+    )
+    rows.to(spark.createDataFrame([], schema).schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for plain, ordered in zip(line_snapshots(spark, str(tmp_path)), line_snapshots(spark, str(tmp_path), ordered=True)):
+        wanted = plain.orderBy("seq").select("seq").collect()
+        assert ordered.select("seq").collect() == wanted
+        assert sorted(map(str, ordered.collect())) == sorted(map(str, plain.collect()))
