@@ -399,3 +399,53 @@ def test_a_diff_that_is_sorted_is_computed_once(spark):
     kept = order_by_key(found.mapInArrow(run, found.schema)).collect()
     assert [r.key for r in kept] == sorted(r.key for r in kept) and len(kept) == 50
     assert computed.value == 50
+
+
+@pytest.mark.parametrize("keys", [("user_id",), ("user_id", "op_type")])
+def test_a_shuffle_without_crowded_buckets_is_read_once(spark, tmp_path, keys):
+    """Nor does it carry the text of a key column beside the key, or counts."""
+    rows = spark.range(400).selectExpr("concat('k', id) AS user_id", "cast(id as string) AS tags", "'U' AS op_type", "id AS seq")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = diff(rows, rows.where("seq > 3"), options=ORDERED.with_(primary_keys=keys))
+    assert len(found.collect()) == 4
+    ran = _plan(found).split("Initial Plan")[0]
+    assert sum("REPARTITION_BY_COL" in line for line in ran.splitlines()) == 1
+    assert ran.count("ReusedExchange") == 0 and ran.count("FileScan parquet") == 2
+
+
+@pytest.mark.parametrize("crowded", [0, 1 << 20])
+@pytest.mark.parametrize("key_mode", ["text", "struct"])
+def test_ties_are_told_by_the_raw_text_of_keys(spark, monkeypatch, crowded, key_mode):
+    """Without an order the last row is the greatest by its raw values in name order, null first; the key column comes before the value."""
+    monkeypatch.setattr("keydrift.operators.ledgers.CROWDED", crowded)
+    frame_of = lambda *rows: spark.createDataFrame(rows, "id string, part string, value string")
+    before = frame_of((" k ", "p", "z"), ("k", "p", "y"), (None, "q", "z"), ("", "q", "y"), (" ", "r||s", "y"), (None, "r||s", "z"), ("a||b", "c", "1"))
+    after = frame_of(("k", "p", "y"), ("", "q", "y"), ("", "r||s", "y"), ("a||b", "c", "2"), ("a||b", "c", "1"))
+    for keys in (("id", "part"), ("part", "id")):
+        found = diff(before, after, options=DiffOptions(primary_keys=keys, key_mode=key_mode), ordered=True)
+        assert rows_of(found) == [("||".join({"id": "a||b", "part": "c"}[k] for k in keys), "UPDATE", "value")]
+    found = diff(before.drop("part"), after.drop("part"), options=DiffOptions(primary_keys=("id",), key_mode=key_mode), ordered=True)
+    assert rows_of(found) == [("a||b", "UPDATE", "value")]
+
+
+@pytest.mark.parametrize("kinds", [("int", "string"), ("struct<a: int, b: string>",) * 2, ("struct<a: int>", "struct<a: string>")])
+def test_the_last_row_by_orders_of_any_type(spark, kinds):
+    """Structs, null or not, and other types on the two sides: numbers go by value, texts by code point."""
+
+    def side(kind, rows):
+        of = {"int": "seq", "string": "cast(seq as string)", "struct<a: int, b: string>": "if(seq = 0, null, struct(seq AS a, v AS b))",
+              "struct<a: int>": "struct(seq AS a)", "struct<a: string>": "struct(cast(seq as string) AS a)"}[kind]
+        return spark.createDataFrame(rows, "user_id string, v string, seq int").selectExpr("user_id", "v", f"{of} AS seq")
+
+    rows = [("a", "nine", 9), ("a", "ten", 10), ("b", "none", 0), ("b", "one", 1), ("c", "none", 0)]
+    before, after = side(kinds[0], rows), side(kinds[1], rows)
+    text_last = "string" in kinds[1].replace(", b: string", "")
+    assert rows_of(diff(before, after, options=ORDERED)) == ([("a", "UPDATE", "v")] if text_last else [])
+
+
+def test_an_error_of_the_input_is_left_to_the_action(spark):
+    rows = spark.range(3).selectExpr("if(id < 5, raise_error('broken row'), 'u') AS user_id", "id AS seq")
+    found = diff(rows, rows, options=ORDERED)
+    with pytest.raises(Exception, match="broken row"):
+        found.collect()
