@@ -414,3 +414,44 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in near_dedup.find(table, 2).collect()}
     assert got == {i: min(own) for i, own in enumerate(group)}
+
+
+def test_near_dedup_of_texts_that_share_common_shingles(spark, monkeypatch):
+    """Texts over few words share every shingle with many others and are not alike: their texts stay where they are."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(40)}" for _ in range(100)] for _ in range(800)]
+    texts += [[*t[:-1], "end"] for t in texts[:5]]
+    fetched, among = [], near_dedup._among
+
+    def counted(docs, ids):
+        fetched.append(ids.count())
+        return among(docs, ids)
+
+    monkeypatch.setattr(near_dedup, "_among", counted)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.find(table, 2).collect()}
+    assert got == {i: i - 800 if i >= 800 else i for i in range(805)}
+    assert 10 <= max(fetched) < 80
+
+
+@pytest.mark.parametrize("shared, own", [((4, 1), 0), ((8, 1), 1), ((12, 3), 0), ((16, 2), 2), ((32, 4), 4), ((120, 15), 15), ((400, 50), 50)])
+def test_sets_at_the_threshold_share_keys(shared, own):
+    """Sets of similarity 0.8, of either size class's border and within, are listed together."""
+    rng = np.random.default_rng(3)
+    common, more = shared
+    sets = []
+    for _ in range(50):
+        values = rng.integers(0, 2**63, common + more + own, dtype=np.uint64)
+        sets += [np.sort(values[: common + more]), np.sort(np.concatenate([values[:common], values[common + more :]]))]
+    first = np.cumsum([0, *map(len, sets)])
+    owner, key = near_dedup.set_keys(np.concatenate(sets), first)
+    keys = [set(key[owner == i]) for i in range(len(sets))]
+    assert all(a & b for a, b in zip(keys[::2], keys[1::2], strict=True))
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    """Each text of an id keeps its own links, whatever the sizes."""
+    long, short = [f"a{i}" for i in range(501)], [f"b{i}" for i in range(41)]
+    rows = [(7, " ".join(short)), (7, " ".join(long)), (9, " ".join([*short[:-1], "other"])), (11, " ".join([*long[:-1], "other"]))]
+    got = near_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(7, 40, 7), (7, 500, 7), (9, 40, 7), (11, 500, 7)]
