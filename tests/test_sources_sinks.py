@@ -7,6 +7,7 @@ import pytest
 from keydrift.operators import diff, last_per_key
 from keydrift.options import DiffOptions
 from keydrift.plans.comparison import benchmark, compare, read_pair, resolve_modes, strategy_matrix
+from keydrift.plans.durable import stored
 from keydrift.plans.job import run_job
 from keydrift.sinks import publish_dataset, read_diff, write_diff
 from keydrift.sources import ROW_ORDER, read_delimited
@@ -262,6 +263,47 @@ def test_job(spark, pair, tmp_path):
         run_job(spark, {"bucket": "b", "before_key": "x", "after_key": "y"})
 
 
+def test_benchmark_job_reads_its_files_once(spark, pair, tmp_path, monkeypatch):
+    from keydrift.plans import job
+
+    taken, run = [], job.benchmark
+
+    def looked_at(before, after, *args, **kw):
+        for df in (before, after):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            taken.append(("FileScan text" in plan or "MapInArrow" in plan, df.schema[ROW_ORDER].nullable, df.inputFiles()))
+        return run(before, after, *args, **kw)
+
+    monkeypatch.setattr(job, "benchmark", looked_at)
+    conf = {"before": pair[0], "after": pair[1], "out": str(tmp_path / "out"), "modes": "all"}
+    results = run_job(spark, {**conf, "action": "benchmark"})["results"]
+    assert [(parsed, nullable) for parsed, nullable, _ in taken] == [(False, False)] * 2
+    assert not any(Path(f.removeprefix("file://")).exists() for *_, files in taken for f in files)
+    totals = ("mode", "rows_before", "rows_after", "rows_diff", "success")
+    alone = [run_job(spark, {**conf, "modes": r["mode"]})["result"] for r in results]
+    assert [[r[n] for n in totals] for r in results] == [[r[n] for n in totals] for r in alone]
+
+
+def test_benchmark_job_reports_files_that_cannot_be_read(spark, pair, tmp_path):
+    (tmp_path / "odd").mkdir()
+    for name, text in (("a.tsv", "user_id\ttags\n1\tx\n"), ("b.tsv", "other\ttags\n2\ty\n")):
+        (tmp_path / "odd" / name).write_text(text)
+    conf = {"before": str(tmp_path / "odd"), "after": pair[1], "out": str(tmp_path / "out"), "action": "benchmark", "modes": "all"}
+    results = run_job(spark, conf)["results"]
+    assert [(r["mode"], r["success"], "header" in r["reason"]) for r in results] == [(m, False, True) for m in resolve_modes("all")]
+
+
+def test_stored_rows_keep_names_types_and_nulls(spark):
+    rows = [("a", None, 1, (1, "x")), (None, "b", None, (None, "y"))]
+    df = spark.createDataFrame(rows, "`a b,;{}` string, `A=` string, n int, s struct<`i j`: int, t: string>")
+    whole = df.select("*", F.struct("n", F.lit("z").alias("odd name")).alias("order"))
+    with stored(whole, df) as (first, second):
+        assert sorted(first.collect(), key=str) == sorted(whole.collect(), key=str)
+        assert first.columns == whole.columns and not first.schema["order"].nullable and second.schema["s"].nullable
+        assert [f.dataType.simpleString() for f in first.schema] == [f.dataType.simpleString() for f in whole.schema]
+        assert second.count() == 2
+
+
 def test_publish(spark, pair, tmp_path):
     for side, text in (("before", BEFORE), ("after", AFTER)):
         (tmp_path / "src" / side).mkdir(parents=True)
